@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import classifier, decontaminate, simhash
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,5 +16,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup,)}
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their probabilities."""
+    return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op9_quality_classifier, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}
