@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, simhash
+from . import classifier, decontaminate, packing, secrets, sharding, simhash
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,18 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(read(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents that the classifier keeps, with their probabilities."""
     return classifier.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -25,5 +37,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op9_quality_classifier, op10_benchmark_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op5_best_fit_packing, op6_secret_scans, op8_sharding, op9_quality_classifier, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}

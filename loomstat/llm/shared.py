@@ -15,13 +15,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder for checkpoints, spark.checkpoint.dir, which executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only a local session without that setting gets a temporary folder;
-    on a cluster the setting is needed, as executors must share the folder.
+    Only a local session without that setting gets a temporary folder; on a cluster the setting is needed.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -31,6 +29,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="loomstat-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut by a reliable checkpoint."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
