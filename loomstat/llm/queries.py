@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, packing, secrets, sharding, simhash
+from . import classifier, decontaminate, packing, repeats, secrets, sharding, simhash, substrings, suffixes
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated_passages(read(spark, sf_dir, "documents"))
+
+
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated_suffixes(read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
@@ -37,5 +45,5 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op5_best_fit_packing, op6_secret_scans, op8_sharding, op9_quality_classifier, op10_benchmark_decontamination)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_suffix_array_dedup, op5_best_fit_packing, op6_secret_scans, op8_sharding, op9_quality_classifier, op10_benchmark_decontamination)}
+ORACLES: dict[str, str] = {op3_substring_dedup.__name__: repeats.ORACLE, op4_suffix_array_dedup.__name__: repeats.ORACLE}
