@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, packing, repeats, secrets, sharding, simhash, substrings, suffixes
+from . import classifier, decontaminate, packing, repeats, secrets, sharding, simhash, substrings, suffixes, topk, urls
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(read(spark, sf_dir, "embeddings"))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -32,6 +36,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(read(spark, sf_dir, "documents"))
 
 
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.filtered(read(spark, sf_dir, "pages"), urls.rules(spark, urls.RULES))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf_dir, "documents"))
 
@@ -45,5 +53,24 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_simhash_near_dedup, op3_substring_dedup, op4_suffix_array_dedup, op5_best_fit_packing, op6_secret_scans, op8_sharding, op9_quality_classifier, op10_benchmark_decontamination)}
-ORACLES: dict[str, str] = {op3_substring_dedup.__name__: repeats.ORACLE, op4_suffix_array_dedup.__name__: repeats.ORACLE}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_exact_top_k,
+        op2_simhash_near_dedup,
+        op3_substring_dedup,
+        op4_suffix_array_dedup,
+        op5_best_fit_packing,
+        op6_secret_scans,
+        op7_url_filters,
+        op8_sharding,
+        op9_quality_classifier,
+        op10_benchmark_decontamination,
+    )
+}
+ORACLES: dict[str, str] = {
+    op1_exact_top_k.__name__: topk.ORACLE,
+    op3_substring_dedup.__name__: repeats.ORACLE,
+    op4_suffix_array_dedup.__name__: repeats.ORACLE,
+    op7_url_filters.__name__: urls.ORACLE,
+}
