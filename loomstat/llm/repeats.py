@@ -111,7 +111,7 @@ def spans_of(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
     new = np.ones(len(doc), bool)
     new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc)) - 1
+    last = np.append(first[1:], len(doc))[: len(first)] - 1
     return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first].astype(np.int64)), pa.array(start[last].astype(np.int64) + length)], ["doc_id", "start", "end"])
 
 

@@ -35,43 +35,55 @@ def _frame_batches(length: int):
     return apply
 
 
-def _extended(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
-    """Spans of the frames that two documents or more have, of rows with all documents of their anchors."""
-    doc, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in (1, 2))
-    blobs = batch.column(3)
-    offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
-    frame = np.frombuffer(blobs.buffers()[2], np.uint64, (offsets[-1] - offsets[0]) // 8, offsets[0]) if len(blobs) else np.zeros(0, np.uint64)
-    many = np.diff(offsets) // 8
-    row = np.repeat(np.arange(len(doc)), many)
-    of = doc[row]
-    order = np.lexsort((of, frame))
-    sorted_frame, sorted_of = frame[order], of[order]
-    first = np.flatnonzero(np.r_[True, sorted_frame[1:] != sorted_frame[:-1]]) if len(order) else order
-    last = np.append(first[1:], len(order)) - 1
-    hit = np.zeros(len(order), bool)
-    hit[order] = np.repeat(sorted_of[first] != sorted_of[last], last - first + 1)
-    place = words.ranges(start.astype(np.int64), many.astype(np.int64))
-    return repeats.spans_of(of[hit], place[hit], length)
+class _Anchors:
+    """Matches frames over rows sorted by anchor and document.
+
+    Of an anchor that goes on, one place is held of each frame that two documents have, and of others the places in their one document.
+    """
+
+    def __init__(self, length: int):
+        self.length = length
+        self.frame, self.doc, self.place, self.shown = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.anchor: int | None = None
+
+    def extended(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        """Spans of the frames that two documents or more have, as far as this batch shows them for the first time."""
+        anchor, doc, start = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1, 2))
+        blobs = batch.column(3)
+        offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1]
+        many = np.diff(offsets) // 8
+        frame = np.frombuffer(blobs.buffers()[2], np.uint64, int(many.sum()), int(offsets[0]))
+        row = np.repeat(np.arange(len(doc)), many)
+        place = words.ranges(start.astype(np.int64), many.astype(np.int64))
+        on = anchor[0] == self.anchor  # a frame's hash stands for its anchor too, so anchors needn't be told apart
+        held = slice(None) if on else slice(0)
+        frame = np.concatenate([self.frame[held], frame])
+        of = np.concatenate([self.doc[held], doc[row]])
+        place = np.concatenate([self.place[held], place])
+        shown = np.concatenate([self.shown[held], np.zeros(len(row), bool)])
+        last_anchor = np.concatenate([np.full(len(self.frame[held]), anchor[0] == anchor[-1]), (anchor == anchor[-1])[row]])
+        order = np.lexsort((of, frame))
+        by_frame, by_doc = frame[order], of[order]
+        first = np.flatnonzero(np.r_[True, by_frame[1:] != by_frame[:-1]])
+        last = np.append(first[1:], len(order)) - 1
+        common = (by_doc[first] != by_doc[last]) | np.logical_or.reduceat(shown[order], first)
+        hit = np.zeros(len(order), bool)
+        hit[order] = np.repeat(common, last - first + 1)
+        leader = np.zeros(len(order), bool)
+        leader[order[first]] = True
+        keep = np.flatnonzero(last_anchor & (leader | ~hit))
+        self.anchor = anchor[-1]
+        self.frame, self.doc, self.place, self.shown = frame[keep], of[keep], place[keep], hit[keep]
+        new = hit & ~shown
+        return repeats.spans_of(of[new], place[new], self.length)
 
 
 def _extend_batches(length: int):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        anchors = _Anchors(length)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            anchor = batch.column(0).to_numpy(zero_copy_only=False)
-            cut = int(np.searchsorted(anchor, anchor[-1]))  # an anchor's rows stay together
-            if not cut and held and held[-1].column(0)[0].as_py() != anchor[0]:
-                yield _extended(pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
-                held = []
-            if cut:
-                whole = pa.Table.from_batches([*held, batch.slice(0, cut)]).combine_chunks().to_batches()[0]
-                yield _extended(whole, length)
-                held = []
-            held.append(batch.slice(cut))
-        if held:
-            yield _extended(pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
+            if batch.num_rows:
+                yield anchors.extended(batch)
 
     return apply
 
