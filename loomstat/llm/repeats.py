@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,15 +79,35 @@ def _shared_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield batch.filter(pa.array(keep))
 
 
+def _squeezed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts as compressed bytes, in which they are shuffled."""
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([squeeze(x.as_buffer()) for x in batch.column(1)], pa.binary())], ["doc_id", "squeezed"])
+
+
+def opened(batch: pa.RecordBatch, most: int = words.SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """As words.slices, of the compressed texts of candidates."""
+    inflate = zstandard.ZstdDecompressor().decompress
+    texts, size, at = [], 0, 0
+    for i, x in enumerate(batch.column(batch.schema.get_field_index("squeezed"))):
+        texts.append(inflate(x.as_buffer()))
+        size += len(texts[-1])
+        if size >= most or i + 1 == batch.num_rows:
+            yield batch.slice(at, i + 1 - at), np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+            texts, size, at = [], 0, i + 1
+
+
 def candidates(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """(doc_id, text, anchors, starts, manys) of the documents with shared anchors: all runs of windows that may repeat elsewhere.
+    """(doc_id, squeezed, anchors, starts, manys) of the documents with shared anchors: all runs of windows that may repeat elsewhere.
 
     docs has doc_id and text, neither null.
     """
+    docs = docs.where(F.octet_length("text") >= 2 * length - 1)  # fewer bytes can't hold so many words
     found = docs.mapInArrow(_anchor_batches(length, k), "anchor long, doc_id long, start int, many int")
     shared = found.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(_shared_batches, found.schema)
     runs = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("start").alias("starts"), F.collect_list("many").alias("manys"))
-    return docs.join(runs, "doc_id")
+    return docs.mapInArrow(_squeezed_batches, "doc_id long, squeezed binary").join(runs, "doc_id")
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,7 +22,7 @@ def _frame_batches(length: int):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seg, bounds in words.slices(batch, "text"):
+            for part, seg, bounds in repeats.opened(batch):
                 w = words.split(seg, bounds)
                 frame = words.grams(words.hashes(seg, w.start, w.end), length)
                 (anchor, runs), (start, _), (many, _) = (repeats.flat(part.column(part.schema.get_field_index(c))) for c in ("anchors", "starts", "manys"))

@@ -22,11 +22,27 @@ from . import repeats, words
 START = 13
 SLICE_BYTES = 8 << 20
 #: A rank has the number of the range in the bits from this one on, and the place in the range below.
-PLACE_BITS = 40
+PLACE_BITS = 32
+#: Ranks and first hashes have 48 bits, so a pair is told by 96; with more than 1 << 16 ranges all 64 bits travel.
+RANK_BYTES = 6
 PACKED = "part int, docs binary, runs binary, pos binary, low binary, high binary"
 NAMES = ["part", "docs", "runs", "pos", "low", "high"]
 
 
+def _bytes(ranks: np.ndarray) -> bytes:
+    wide = len(ranks) and int(ranks.max()) >> (8 * RANK_BYTES)
+    return ranks.tobytes() if wide else np.ascontiguousarray(ranks.view(np.uint8).reshape(-1, 8)[:, :RANK_BYTES]).tobytes()
+
+
+def _ranks(data: pa.Scalar, n: int) -> np.ndarray:
+    raw = np.frombuffer(data.as_buffer(), np.uint8)
+    out = np.zeros((n if len(raw) else 0, 8), np.uint8)
+    if len(out):
+        raw = raw.reshape(n, -1)
+        out[:, : raw.shape[1]] = raw
+    return out.view("<u8")[:, 0]
+
+
 def packed(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
     """A row for each part: its documents, how many suffixes each has, and each suffix's place and pair of ranks."""
     order = np.lexsort((pos, doc, part))
@@ -36,7 +52,7 @@ def packed(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, low: np.ndarray,
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         some = doc[a:b]
         first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
-        values = (int(part[a]), some[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), pos[a:b].tobytes(), low[a:b].tobytes(), high[a:b].tobytes())
+        values = (int(part[a]), some[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), pos[a:b].tobytes(), _bytes(low[a:b]), _bytes(high[a:b]))
         for column, value in zip(rows, values, strict=True):
             column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], NAMES)
@@ -48,7 +64,10 @@ def unpacked(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.
     def column(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column(name)] or [np.zeros(0, kind)])
 
-    return np.repeat(column("docs", np.int64), column("runs", np.int32)), column("pos", np.int32).astype(np.int64), column("low", np.uint64), column("high", np.uint64)
+    def ranks(name: str) -> np.ndarray:
+        return np.concatenate([_ranks(x, len(p.as_buffer()) // 4) for b in batches for x, p in zip(b.column(name), b.column("pos"), strict=True)] or [np.zeros(0, np.uint64)])
+
+    return np.repeat(column("docs", np.int64), column("runs", np.int32)), column("pos", np.int32).astype(np.int64), ranks("low"), ranks("high")
 
 
 def by_part(apply: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -78,7 +97,7 @@ def _first_pairs(length: int, step: int, reach: int, parts: int):
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seg, bounds in words.slices(batch, "text", SLICE_BYTES):
+            for part, seg, bounds in repeats.opened(batch, SLICE_BYTES):
                 w = words.split(seg, bounds)
                 gram = words.grams(words.hashes(seg, w.start, w.end), START)
                 (_, runs), (start, _), (many, _) = (repeats.flat(part.column(part.schema.get_field_index(c))) for c in ("anchors", "starts", "manys"))
@@ -89,8 +108,8 @@ def _first_pairs(length: int, step: int, reach: int, parts: int):
                 at = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
                 of = np.searchsorted(w.first, at, "right") - 1
                 ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
-                low, high = gram[at], gram[at + step]
-                yield packed((low >> words.U64(32)).astype(np.int64) * parts >> 32, ids[of], at - w.first[of], low, high)
+                low, high = gram[at] >> words.U64(16), gram[at + step] >> words.U64(16)
+                yield packed((low >> words.U64(16)).astype(np.int64) * parts >> 32, ids[of], at - w.first[of], low, high)
 
     return apply
 
