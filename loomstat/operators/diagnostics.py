@@ -86,10 +86,10 @@ def conservative_tail(df: DataFrame, target: str, is_tail: str, least: int = 64)
 
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row, average_precision: the step-wise area under precision and recall, equal scores together."""
-    levels = df.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("_p"), F.count("*").alias("_n"))
+    levels = df.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("_hits"), F.count("*").alias("_rows"))
     down = Window.partitionBy(F.lit(0)).orderBy(F.desc(score))
-    levels = levels.withColumn("_tp", F.sum("_p").over(down)).withColumn("_all", F.sum("_n").over(down))
-    return levels.agg(F.try_divide(F.sum(F.col("_p") * F.col("_tp") / F.col("_all")), F.sum("_p")).alias("average_precision"))
+    levels = levels.withColumn("_tp", F.sum("_hits").over(down)).withColumn("_all", F.sum("_rows").over(down))
+    return levels.agg(F.try_divide(F.sum(F.col("_hits") * F.col("_tp") / F.col("_all")), F.sum("_hits")).alias("average_precision"))
 
 
 def stratified_context(df: DataFrame, strata: list[str], most: int, seed: int, key: str) -> DataFrame:

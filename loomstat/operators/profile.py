@@ -86,7 +86,7 @@ def quality(df: DataFrame, keys: list[str], failed: Column, metrics: list[str],
 
 def coverage(df: DataFrame, rows: str, columns: str, levels: list[str]) -> DataFrame:
     """Counts of rows x levels, 0 where there are none; levels are given, so no extra pass looks for them."""
-    found = df.groupBy(category(F.col(rows)).alias(rows)).pivot(columns, levels).agg(F.count("*"))
+    found = df.groupBy(category(F.col(rows)).alias(rows)).pivot(columns, levels).agg(F.count(F.lit(1)))
     return found.na.fill(0)
 
 
