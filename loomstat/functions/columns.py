@@ -67,7 +67,7 @@ def pearson(a: Column, b: Column) -> Column:
     """Aggregate: correlation, null below three pairs or without spread."""
     both = a.isNotNull() & b.isNotNull()
     x, y = F.when(both, a), F.when(both, b)
-    return F.when((F.count(x) > 2) & (F.stddev_pop(x) > 0) & (F.stddev_pop(y) > 0), F.corr(x, y))
+    return F.when(F.count(x) > 2, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
 
 
 def binned(c: Column, edges: Column) -> Column:
