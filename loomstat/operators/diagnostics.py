@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import category, corrected_skewness, shuffled
-from .ranks import spearman
+from .ranks import ranges, spearman
 
 
 def fold_metrics(df: DataFrame, target: str, prediction: str, by: list[str]) -> DataFrame:
@@ -87,8 +87,11 @@ def conservative_tail(df: DataFrame, target: str, is_tail: str, least: int = 64)
 def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     """One row, average_precision: the step-wise area under precision and recall, equal scores together."""
     levels = df.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("_hits"), F.count("*").alias("_rows"))
-    down = Window.partitionBy(F.lit(0)).orderBy(F.desc(score))
-    levels = levels.withColumn("_tp", F.sum("_hits").over(down)).withColumn("_all", F.sum("_rows").over(down))
+    levels = ranges(levels, score)
+    down = Window.partitionBy(F.lit(0)).orderBy(F.desc("_range"))  # a row for each range
+    above = levels.groupBy("_range").agg(F.sum("_hits").alias("_h"), F.sum("_rows").alias("_r")).select("_range", (F.sum("_h").over(down) - F.col("_h")).alias("_above_hits"), (F.sum("_r").over(down) - F.col("_r")).alias("_above_rows"))
+    within = Window.partitionBy("_range").orderBy(F.desc(score))
+    levels = levels.join(above, "_range").withColumn("_tp", F.col("_above_hits") + F.sum("_hits").over(within)).withColumn("_all", F.col("_above_rows") + F.sum("_rows").over(within))
     return levels.agg(F.try_divide(F.sum(F.col("_hits") * F.col("_tp") / F.col("_all")), F.sum("_hits")).alias("average_precision"))
 
 

@@ -123,6 +123,7 @@ def contributions(basis: Basis, sources: list[str], components: int) -> list[tup
 def compare(old: Basis, new: Basis, components: int) -> list[tuple[int, float, float, float]]:
     """(component, cosine, change of share, principal angle in degrees) over the union of names, a missing one being 0; signs are aligned first."""
     names = list(dict.fromkeys(old.names + new.names))
+    components = min(components, old.loadings.shape[1], new.loadings.shape[1])
 
     def spread(b: Basis) -> np.ndarray:
         out = np.zeros((len(names), components))

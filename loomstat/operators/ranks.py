@@ -7,6 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def ranges(df: DataFrame, value: str) -> DataFrame:
+    """df with _range, the number of the range of values between approximate quantiles, as many as there are shuffle partitions; equal values share one."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
+    return df.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(value))))
+
+
 def positions(df: DataFrame, value: str, within: list[str] | None = None) -> DataFrame:
     """df with _before (rows of a lower value), _ties (rows of the same value) and _total among the rows of the same `within`; nulls are left out.
 
@@ -15,10 +23,7 @@ def positions(df: DataFrame, value: str, within: list[str] | None = None) -> Dat
     """
     within = within or []
     df = df.where(F.col(value).isNotNull())
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
-    df = df.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(value))))
+    df = ranges(df, value)
     sizes = df.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
     order = Window.partitionBy(*within).orderBy("_range") if within else Window.orderBy("_range")
     everything = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..operators import conformal, diagnostics, embedding, encode, folds, models, neural, pca, ranks
-from . import tables
+from . import reports, tables, workflows
 from .analytics import rounded
 from .tables import JOINED, RUNS
 
@@ -402,3 +402,62 @@ def vae_beta_select(spark, sf_dir):
     encoder = encode.fit(assigned.where("fold <> 0"), *_FEATURES)
     runs = neural.screen(encoder.transform(assigned), "features", "fold", ["config_id", *_FEATURES[1], "isl", "conc"], [{"method": "vae", "k": 4, "seed": 17, "fold": f, "beta": b} for b in (0.0001, 0.001, 0.01) for f in (0, 1)], epochs=12, most=2000)
     return neural.select_beta(runs, least_active=1)
+
+
+@query()
+def uncertainty_protocol(spark, sf_dir):
+    return workflows.uncertainty(_cohort(spark, sf_dir), *_FEATURES, "tput", "config_id", n_folds=2, levels=(0.8,))
+
+
+@query()
+def representation_runs(spark, sf_dir):
+    return workflows.representation_study(_cohort(spark, sf_dir), *_FEATURES, "config_id", ks=(2, 4), seeds=(17,), n_folds=2, epochs=8, most=2000)
+
+
+@query()
+def pca_overlay(spark, sf_dir):
+    df = _vectors(spark, sf_dir)
+    return reports.overlay(pca.fit(df, "embedding", components=3).scores(df, "embedding"), "scores", "label", 3)
+
+
+@query()
+def pca_representatives(spark, sf_dir):
+    df = _vectors(spark, sf_dir)
+    return reports.representatives(pca.fit(df, "embedding", components=3).scores(df, "embedding"), "scores", 3, "vec_id")
+
+
+@query()
+def ablation_families(spark, sf_dir):
+    df = _cohort(spark, sf_dir)
+    assigned = df.join(folds.greedy_folds(df, "config_id", 2), "config_id")
+    families = {"workload": (["isl", "conc"], ["benchmark_type"]), "configuration": (["config_balance"], ["config_framework"])}
+    return reports.ablation(assigned.where("fold = 0"), assigned.where("fold = 1"), families, 3)
+
+
+@query()
+def structure_vs_performance(spark, sf_dir):
+    encoder, df = _encoded(spark, sf_dir)
+    structure = [(s, w) for s, w, _ in pca.contributions(pca.fit(df, "features", encoder.names()), encoder.sources(), 5)]
+    weights, _ = embedding.ridge(df, "features", "tput")
+    performance = {s: 0.0 for s in encoder.sources()}
+    for s, w in zip(encoder.sources(), weights, strict=True):
+        performance[s] += abs(float(w))
+    return reports.structure_against_performance(spark, structure, list(performance.items()), 4)
+
+
+@query(f"WITH {RUNS} SELECT count(*) AS runs, count(DISTINCT config_id) AS configurations, (SELECT count(*) FROM (SELECT DISTINCT benchmark_type, isl, conc FROM runs)) AS workloads, min(date) AS first_date, max(date) AS last_date FROM runs")
+def overview(spark, sf_dir):
+    return reports.overview(tables.runs(spark, sf_dir), "config_id", ["benchmark_type", "isl", "conc"], "date")
+
+
+@query(f"WITH {_PREDICTED}, r AS (SELECT fold AS run, config_framework AS feature, avg(abs(tput - prediction)) AS value FROM p GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY value DESC, feature) AS k FROM r) SELECT feature, round(avg(value), 4) AS mean, round(stddev_pop(value), 4) AS std, round(avg(CASE WHEN k <= 2 THEN 1.0 ELSE 0.0 END), 6) AS top_share FROM k GROUP BY 1")
+def feature_consistency(spark, sf_dir):
+    rows = _predicted(spark, sf_dir).groupBy(F.col("fold").alias("run"), F.col("config_framework").alias("feature")).agg(F.avg(F.abs(F.col("tput") - F.col("prediction"))).alias("value"))
+    found = reports.feature_consistency(rows, "run", "feature", "value", 2)
+    return found.select("feature", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), F.round("top_share", 6).alias("top_share"))
+
+
+@query(f"WITH {_PREDICTED}, r AS (SELECT fold, benchmark_type, avg(abs(tput - prediction)) AS v FROM p GROUP BY ALL), i AS (SELECT fold, avg(v) AS m, stddev_pop(v) AS s FROM r GROUP BY 1) SELECT round(avg(m), 4) AS mean, round(stddev_pop(m), 4) AS between_partitions, round(avg(s), 4) AS within_partitions FROM i")
+def run_variation(spark, sf_dir):
+    rows = _predicted(spark, sf_dir).groupBy("fold", "benchmark_type").agg(F.avg(F.abs(F.col("tput") - F.col("prediction"))).alias("v"))
+    return rounded(reports.variation(rows, "fold", "benchmark_type", "v"), 4)
