@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import category, corrected_skewness, shuffled
-from .ranks import ranges, spearman
+from .ranks import quantiles, ranges, spearman
 
 
 def fold_metrics(df: DataFrame, target: str, prediction: str, by: list[str]) -> DataFrame:
@@ -46,7 +46,8 @@ def unseen_levels(df: DataFrame, columns: list[str], fold: str = "fold") -> Data
 
 def error_attribution(df: DataFrame, target: str, prediction: str, columns: list[str]) -> DataFrame:
     """(column, value, n, abs_error, share, large, under, over): where the absolute error comes from; large is beyond 1.5 interquartile ranges of the target."""
-    iqr = df.agg(F.percentile(target, 0.75) - F.percentile(target, 0.25)).first()[0] or 0.0
+    low, high = quantiles(df, [target], [0.25, 0.75])[target]
+    iqr = high - low if low is not None else 0.0
     error = F.col(target) - F.col(prediction)
     long = df.select(error.alias("_e"), F.inline(F.array(*[F.struct(F.lit(c).alias("column"), category(F.col(c)).alias("value")) for c in columns])))
     found = long.groupBy("column", "value").agg(F.count("*").alias("n"), F.sum(F.abs("_e")).alias("abs_error"), F.count_if(F.abs("_e") > 1.5 * iqr).alias("large"), F.count_if(F.col("_e") > 0).alias("under"), F.count_if(F.col("_e") < 0).alias("over"))
@@ -62,7 +63,8 @@ def residual_scale(df: DataFrame, target: str, prediction: str, column: str) ->
 def residual_summary(df: DataFrame, target: str, prediction: str) -> DataFrame:
     """One row: moments and percentiles of the residuals, and the rank correlation of their size with the prediction."""
     with_error = df.withColumn("_e", F.col(target) - F.col(prediction)).withColumn("_a", F.abs("_e"))
-    moments = with_error.agg(F.count("_e").alias("n"), F.avg("_e").alias("mean"), F.stddev_pop("_e").alias("std"), corrected_skewness(F.col("_e")).alias("skewness"), *[F.percentile("_e", p / 100).alias(f"p{p}") for p in (5, 50, 95)])
+    found = quantiles(with_error, ["_e"], [0.05, 0.5, 0.95])["_e"]
+    moments = with_error.agg(F.count("_e").alias("n"), F.avg("_e").alias("mean"), F.stddev_pop("_e").alias("std"), corrected_skewness(F.col("_e")).alias("skewness"), *[F.lit(v).cast("double").alias(f"p{p}") for p, v in zip((5, 50, 95), found, strict=True)])
     return moments.crossJoin(spearman(with_error, "_a", prediction).select(F.col("spearman").alias("scale_spearman")))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import category, number
+from .ranks import quantiles
 
 MOST_LEVELS = 30
 
@@ -46,8 +47,7 @@ class Encoder:
 def fit(train: DataFrame, numeric: list[str], categories: list[str], most: int = MOST_LEVELS) -> Encoder:
     """Medians for missing numbers, then population deviations around means; the most frequent level for missing categories, and at most `most` levels, the rest folded into one."""
     x = {c: number(F.col(c)) for c in numeric}
-    medians = train.agg(*[F.median(x[c]).alias(c) for c in numeric]).first().asDict() if numeric else {}
-    medians = {c: medians[c] if medians[c] is not None else 0.0 for c in numeric}
+    medians = {c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(train, numeric, [0.5]).items()}
     filled = {c: F.coalesce(x[c], F.lit(medians[c])) for c in numeric}
     row = train.agg(*[F.avg(filled[c]).alias(f"m{i}") for i, c in enumerate(numeric)], *[F.stddev_pop(filled[c]).alias(f"s{i}") for i, c in enumerate(numeric)]).first() if numeric else None
     levels = {}
@@ -63,7 +63,7 @@ def fit(train: DataFrame, numeric: list[str], categories: list[str], most: int =
 
 def supervised(df: DataFrame, train: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
     """df with numbers filled by the training rows' medians and flagged by <name>__missing, and null categories as a level."""
-    medians = train.agg(*[F.median(number(F.col(c))).alias(c) for c in numeric]).first() if numeric else {}
+    medians = {c: v[0] for c, v in quantiles(train, numeric, [0.5]).items()}
     out = df
     for c in numeric:
         out = out.withColumn(f"{c}__missing", number(F.col(c)).isNull().cast("int")).withColumn(c, F.coalesce(number(F.col(c)), F.lit(medians[c] if medians[c] is not None else 0.0)))

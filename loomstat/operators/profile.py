@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import category, corrected_skewness, number
+from .ranks import quantiles
 
 #: Columns in one aggregate: generated code has a size limit.
 WIDE = 40
@@ -26,20 +27,24 @@ def _long(df: DataFrame, columns: list[str], measures: dict[str, callable], name
 
 def numeric_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """count, missing, mean, std, min, quartiles and max of each numeric column."""
-    at = lambda p: lambda c: F.percentile(number(F.col(c)), p)
-    made = {"count": lambda c: F.count(number(F.col(c))), "missing": lambda c: F.count_if(number(F.col(c)).isNull()), "mean": lambda c: F.avg(number(F.col(c))), "std": lambda c: F.stddev_samp(number(F.col(c))), "min": lambda c: F.min(number(F.col(c))), "p25": at(0.25), "median": at(0.5), "p75": at(0.75), "max": lambda c: F.max(number(F.col(c)))}
-    return _long(df, columns, made)
+    x = lambda c: number(F.col(c))
+    made = {"count": lambda c: F.count(x(c)), "missing": lambda c: F.count_if(x(c).isNull()), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c)), "min": lambda c: F.min(x(c)), "max": lambda c: F.max(x(c))}
+    return _long(df, columns, made).join(_table(df, columns, {"p25": 0.25, "median": 0.5, "p75": 0.75}), "column")
+
+
+def _table(df: DataFrame, columns: list[str], shares: dict[str, float]) -> DataFrame:
+    """(column, a quantile for each name), a row for each column."""
+    found = quantiles(df, columns, list(shares.values()))
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in columns], "column string, " + ", ".join(f"{n} double" for n in shares))
 
 
 def extended_distribution(df: DataFrame, columns: list[str]) -> DataFrame:
     """p1 to p99, population deviation, corrected skewness, and the number of values beyond 1.5 interquartile ranges from the quartiles."""
     x = lambda c: number(F.col(c))
-    made = {f"p{p}": (lambda p: lambda c: F.percentile(x(c), p / 100))(p) for p in (1, 5, 25, 50, 75, 95, 99)}
-    made |= {"std": lambda c: F.stddev_pop(x(c)), "skewness": lambda c: corrected_skewness(x(c))}
-    first = _long(df, columns, made)
-    fences = {r["column"]: (r["p25"] - 1.5 * (r["p75"] - r["p25"]), r["p75"] + 1.5 * (r["p75"] - r["p25"])) for r in first.collect() if r["p25"] is not None}  # a row for each column
-    beyond = lambda c: F.count_if(~x(c).between(*fences[c])) if c in fences else F.lit(0).cast("bigint") + F.count_if(F.lit(False))
-    return first.join(_long(df, columns, {"outliers": beyond}), "column")
+    table = _table(df, columns, {f"p{p}": p / 100 for p in (1, 5, 25, 50, 75, 95, 99)})
+    fences = {r["column"]: (r["p25"] - 1.5 * (r["p75"] - r["p25"]), r["p75"] + 1.5 * (r["p75"] - r["p25"])) for r in table.collect() if r["p25"] is not None}  # a row for each column
+    made = {"std": lambda c: F.stddev_pop(x(c)), "skewness": lambda c: corrected_skewness(x(c)), "outliers": lambda c: F.count_if(~x(c).between(*fences[c])) if c in fences else F.count_if(F.lit(False))}
+    return table.join(_long(df, columns, made), "column")
 
 
 def value_counts(df: DataFrame, columns: list[str], most: int | None = None) -> DataFrame:

@@ -58,7 +58,55 @@ def order_statistic(df: DataFrame, value: str, place: Column, within: list[str]
     return hit.groupBy(*(within or [])).agg(F.min(value).alias(value))
 
 
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of whole columns, linearly interpolated; null values don't count, and a column without any has None.
+
+    No task holds a column: values are counted, their counts are added in ranges between approximate quantiles, and only the
+    ranges with a wanted place are sorted. The driver gets a number for each range and each quantile.
+    """
+    import math
+
+    from ..functions.columns import number
+
+    if not columns:
+        return {}
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = df.agg(*[F.percentile_approx(number(F.col(c)), [i / parts for i in range(1, parts)], 10_000) for c in columns]).first()
+    edges = F.create_map(*[x for c, b in zip(columns, found, strict=True) for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in sorted(set(b or []))]).cast("array<double>"))])
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), number(F.col(c)).alias("v")) for c in columns]))).where("v is not null")
+    levels = long.groupBy("c", "v").agg(F.count("*").alias("n")).withColumn("r", F.size(F.filter(edges[F.col("c")], lambda e: e < F.col("v"))))
+    sizes: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}
+    for row in levels.groupBy("c", "r").agg(F.sum("n").alias("n")).orderBy("c", "r").collect():  # columns x ranges
+        sizes[row["c"]].append((row["r"], row["n"]))
+    wanted = set()
+    for c in columns:
+        total = sum(n for _, n in sizes[c])
+        for p in shares if total else []:
+            for place in {math.floor((total - 1) * p), math.ceil((total - 1) * p)}:
+                before = 0
+                for r, n in sizes[c]:
+                    if place < before + n:
+                        wanted.add((c, r, place - before, place))
+                        break
+                    before += n
+    if not wanted:
+        return {c: [None] * len(shares) for c in columns}
+    asked = df.sparkSession.createDataFrame(sorted(wanted), "c string, r int, k bigint, place bigint")
+    near = levels.join(F.broadcast(asked.select("c", "r").distinct()), ["c", "r"], "left_semi")  # of two rows a quantile
+    near = near.withColumn("up", F.sum("n").over(Window.partitionBy("c", "r").orderBy("v")))
+    at = {(r["c"], r["place"]): r["v"] for r in near.join(F.broadcast(asked), ["c", "r"]).where("k < up and k >= up - n").select("c", "place", "v").collect()}
+
+    def value(c: str, p: float) -> float | None:
+        total = sum(n for _, n in sizes[c])
+        if not total:
+            return None
+        x = (total - 1) * p
+        low, high = at[(c, math.floor(x))], at[(c, math.ceil(x))]
+        return low + (high - low) * (x - math.floor(x))
+
+    return {c: [value(c, p) for p in shares] for c in columns}
+
+
 def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
     """Different edges of equally filled bins, linearly interpolated."""
-    found = df.agg(F.percentile(value, [i / bins for i in range(bins + 1)])).first()[0]
-    return sorted(set(found or []))
+    return sorted({v for v in quantiles(df, [value], [i / bins for i in range(bins + 1)])[value] if v is not None})

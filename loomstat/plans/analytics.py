@@ -177,11 +177,10 @@ def energy_exact_lookup(spark, sf_dir):
     return rounded(energy.exact_lookup(tables.runs(spark, sf_dir), "energy", _SELECTION, "config_id", "date"), 4)
 
 
-@query(f"WITH {RUNS} SELECT run_id, conc, energy, round(energy / 3.6, 9) AS kwh_per_million_tokens, round(3.6e6 / energy, 9) AS tokens_per_kwh, round(energy / 3.6 * 0.15, 9) AS cost_per_million_tokens FROM runs WHERE energy > 0")
+@query(f"WITH {RUNS} SELECT run_id, conc, energy, energy / 3.6 AS kwh_per_million_tokens, 3.6e6 / energy AS tokens_per_kwh, energy / 3.6 * 0.15 AS cost_per_million_tokens FROM runs WHERE energy > 0")
 def energy_conversions(spark, sf_dir):
     df = energy.measured(tables.runs(spark, sf_dir).select("run_id", "conc", "energy"), "energy")
-    df = energy.conversions(df, "energy", 0.15)
-    return df.select("run_id", "conc", "energy", *[F.round(c, 9).alias(c) for c in ("kwh_per_million_tokens", "tokens_per_kwh", "cost_per_million_tokens")])
+    return energy.conversions(df, "energy", 0.15)
 
 
 _UNIT_SQL = f"{JOINED}, u AS (SELECT config_id, benchmark_type, isl, conc, config_framework, config_balance, median(energy) AS energy, median(tput) AS tput FROM joined WHERE energy > 0 GROUP BY ALL)"

@@ -70,7 +70,7 @@ _PREDICTED = f"""{JOINED}, {_fold_sql(3)}, j AS (SELECT joined.*, fold FROM join
 m AS (SELECT benchmark_type, isl, fold, (sum(s) OVER w - s) / (sum(n) OVER w - n) AS prediction FROM g WINDOW w AS (PARTITION BY benchmark_type, isl)), p AS (SELECT * FROM j JOIN m USING (benchmark_type, isl, fold))"""
 
 
-@query(f"WITH {_PREDICTED} SELECT fold, count(*) AS n, round(1 - sum((tput - prediction) ** 2) / (var_pop(tput) * count(*)), 6) AS r2, round(avg(abs(tput - prediction)), 4) AS mae FROM p GROUP BY fold")
+@query(f"WITH {_PREDICTED} SELECT fold, count(*) AS n, round(1 - sum((tput - prediction) ** 2) / (var_pop(tput) * count(*)), 6) + 0.0 AS r2, round(avg(abs(tput - prediction)), 4) AS mae FROM p GROUP BY fold")
 def fold_metrics_group_mean(spark, sf_dir):
     df = diagnostics.fold_metrics(_predicted(spark, sf_dir), "tput", "prediction", ["fold"])
     return df.select(F.col("fold").cast("bigint").alias("fold"), "n", F.round("r2", 6).alias("r2"), F.round("mae", 4).alias("mae"))
@@ -204,11 +204,11 @@ def target_quintiles(spark, sf_dir):
     return found.select(F.col("bin").cast("bigint").alias("bin"), "n", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), F.round("latency", 9).alias("latency"))
 
 
-@query(f"WITH {RUNS}, m AS (SELECT median(energy) AS e FROM runs), x AS (SELECT run_id, conc, coalesce(energy, e) AS energy, tput FROM runs, m), s AS (SELECT avg(energy) AS me, stddev_pop(energy) AS se, avg(tput) AS mt, stddev_pop(tput) AS st FROM x) SELECT run_id, conc, round((energy - me) / se, 6) AS energy, round((tput - mt) / st, 6) AS tput FROM x, s")
+@query(f"WITH {RUNS}, m AS (SELECT median(energy) AS e FROM runs), x AS (SELECT run_id, conc, coalesce(energy, e) AS energy, tput FROM runs, m), s AS (SELECT avg(energy) AS me, stddev_pop(energy) AS se, avg(tput) AS mt, stddev_pop(tput) AS st FROM x) SELECT run_id, conc, round((energy - me) / se, 4) + 0.0 AS energy, round((tput - mt) / st, 4) + 0.0 AS tput FROM x, s")
 def encode_impute_scale(spark, sf_dir):
     df = tables.runs(spark, sf_dir)
     encoder = encode.fit(df, ["energy", "tput"], [])
-    return df.select("run_id", "conc", *[F.round(c, 6).alias(n) for n, c in zip(encoder.names(), encoder.columns(), strict=True)])
+    return df.select("run_id", "conc", *[F.round(c, 4).alias(n) for n, c in zip(encoder.names(), encoder.columns(), strict=True)])
 
 
 @query(f"WITH {JOINED}, l AS (SELECT config_hardware AS level, count(*) AS n FROM joined GROUP BY 1) SELECT 'config_hardware=' || level AS name, n FROM l UNION ALL SELECT 'config_framework=' || config_framework, count(*) FROM joined GROUP BY config_framework")

@@ -26,7 +26,7 @@ def overlay(df: DataFrame, scores: str, target: str, components: int = 5, bins:
     present = df.where(F.col(target).isNotNull())
     out = []
     for k in range(components):
-        one = present.select(F.col(scores)[k].alias("s"), F.col(target).cast("double").alias("t"))
+        one = present.select(F.get(scores, k).alias("s"), F.col(target).cast("double").alias("t"))
         both = one.agg(pearson(F.col("s"), F.col("t")).alias("pearson")).crossJoin(ranks.spearman(one, "s", "t").select("spearman"))
         out.append(both.select(F.lit(k + 1).cast("bigint").alias("component"), "pearson", "spearman"))
     return reduce(DataFrame.unionByName, out)
