@@ -5,7 +5,6 @@ from __future__ import annotations
 import argparse
 import time
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -115,12 +114,22 @@ def basis_artifact(old: DataFrame, new: DataFrame, numeric: list[str], categorie
         "contributions": pca.contributions(bases[1], encoders[1].sources(), 5),
         "narrative": reports.narrative(bases[1], encoders[1].sources()),
         "overlays": {t: [list(r) for r in reports.overlay(scored, "scores", t).orderBy("component").collect()] for t in targets},
-        "basis_sha256": artifacts.signature(names=bases[1].names, loadings=np.round(bases[1].loadings, 9).tolist()),
+        "basis_sha256": artifacts.signature(names=bases[1].names, loadings=_rounded(bases[1].loadings.tolist(), 6)),
     }
+    payload = _rounded(payload)
     artifacts.write(path, payload)
     return payload
 
 
+def _rounded(value, digits: int = 9):
+    """Numbers to so many decimals: sums differ in their last bits by the order in which partitions arrive."""
+    if isinstance(value, float):
+        return round(value, digits) + 0.0
+    if isinstance(value, dict):
+        return {k: _rounded(v, digits) for k, v in value.items()}
+    return [_rounded(v, digits) for v in value] if isinstance(value, (list, tuple)) else value
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("task", choices=["status", "compare", "uncertainty"])
