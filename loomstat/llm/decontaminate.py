@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other parameters has the same template. Windows of
 templates are joined by hash, and the slots of each alignment are checked: one value of the benchmark must always stand
-for one value in the document and the other way round.
+for one value in the document and the other way round. Where a window has too few words besides slots, and for items too
+short for a template, the hash of the exact words, slot values included, is joined instead.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from . import words
 WINDOW = 8
 #: Words that aren't placeholders, at least, in a window; a shorter item needs half of its words.
 LITERALS = 4
-#: Items with fewer words than this are no evidence and match nothing.
+#: Items with fewer words than this have no template; only their exact words match.
 SHORTEST = 5
 #: A document is contaminated by an item if one alignment shares so many windows with it, or that share of its windows.
 LEAST_WINDOWS = 6
@@ -34,6 +35,8 @@ UNITS = (
     "degree degrees c f k w kw kwh watt watts joule joules j v volt volts a amp amps hz khz mhz ghz b kb mb gb tb byte bytes bit bits mph kph people apples oranges"
 ).split()
 NUMBER, NAME, UNIT = 1, 2, 3
+#: Added to the hash of exact words, so that it isn't that of a template.
+EXACT = 1 << 32
 _UNIT_HASHES = np.sort(np.array([words.hashes(b, np.array([0]), np.array([len(b)]))[0] for b in (np.frombuffer(u.encode(), np.uint8) for u in UNITS)], np.uint64))
 _SLOT_HASHES = np.array([0, 0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0x9B05688C2B3E6C1F], np.uint64)
 _ENDS = np.array([b in b".!?:\n\r\"" for b in range(256)])
@@ -79,32 +82,42 @@ def templates(seg: np.ndarray, bounds: np.ndarray) -> tuple[words.Words, np.ndar
     return w, kind, h, np.where(kind > 0, _SLOT_HASHES[kind], h)
 
 
-def windows(seg: np.ndarray, bounds: np.ndarray, sizes: tuple[int, ...], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each size: texts, places, hashes, and for each window the number of its slots with all slots' values.
+def windows(seg: np.ndarray, bounds: np.ndarray, sizes: tuple[int, ...], exact: tuple[int, ...], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """For each size: texts, places, hashes, for each window the number of its slots with all slots' values, and 0; then for each of exact, by the exact words, without slots and with that size.
 
-    whole: only texts of exactly that size have windows of less than WINDOW words; for the benchmark's side.
+    whole: only texts of exactly that size have windows of less than WINDOW words, and only windows that have no template
+    are exact; for the benchmark's side. Else all windows of those sizes are, as kinds depend on the words before them.
     """
     w, kind, h, template = templates(seg, bounds)
     slots = np.concatenate([[0], np.cumsum(kind > 0)])
     values = h[kind > 0]
-    for size in sizes:
+
+    def every(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         fits = w.counts >= size if size == WINDOW or not whole else w.counts == size
         many = np.where(fits, w.counts - size + 1, 0)
         place = words.ranges(w.first[:-1], many)
-        text = np.repeat(np.arange(len(many)), many)
         filled = slots[place + size] - slots[place]
-        keep = size - filled >= (LITERALS if size == WINDOW else (size + 1) // 2)
+        return np.repeat(np.arange(len(many)), many), place, filled, (size >= SHORTEST) & (size - filled >= (LITERALS if size == WINDOW else (size + 1) // 2))
+
+    for size in sizes:
+        text, place, filled, keep = every(size)
         place, text, filled = place[keep], text[keep], filled[keep]
         # a hash tells the size too
-        yield text, place - w.first[text], (words.grams(template, size)[place] + words.U64(size) if len(template) else template), filled, values[words.ranges(slots[place], filled)]
+        yield text, place - w.first[text], (words.grams(template, size)[place] + words.U64(size) if len(template) else template), filled, values[words.ranges(slots[place], filled)], 0
+    for size in exact:
+        text, place, _, keep = every(size)
+        if whole:
+            place, text = place[~keep], text[~keep]
+        if len(place):
+            yield text, place - w.first[text], words.grams(h, size)[place] + words.U64(EXACT + size), np.zeros(len(place), np.int64), values[:0], size
 
 
-def _window_batches(id_name: str, sizes: tuple[int, ...], whole: bool, bits=None):
+def _window_batches(id_name: str, sizes: tuple[int, ...], exact: tuple[int, ...], whole: bool, bits=None):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = np.frombuffer(bits.value, np.uint8) if bits is not None else None
         for batch in batches:
             for part, seg, bounds in words.slices(batch, "text"):
-                for text, place, h, filled, values in windows(seg, bounds, sizes, whole):
+                for text, place, h, filled, values, size in windows(seg, bounds, sizes, exact, whole):
                     if marks is not None:
                         bit = (h % words.U64(len(marks) * 8)).astype(np.int64)
                         hit = marks[bit >> 3] >> (bit & 7).astype(np.uint8) & 1 > 0
@@ -113,7 +126,7 @@ def _window_batches(id_name: str, sizes: tuple[int, ...], whole: bool, bits=None
                     if len(h):
                         offsets = np.concatenate([[0], np.cumsum(filled)]).astype(np.int32)
                         lists = pa.ListArray.from_arrays(pa.array(offsets), words.as_signed(np.ascontiguousarray(values)))
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(place), words.as_signed(np.ascontiguousarray(h)), lists], [id_name, "place", "window", "slots"])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(text)), pa.array(place), words.as_signed(np.ascontiguousarray(h)), lists, pa.array(np.full(len(h), size, np.int32))], [id_name, "place", "window", "slots", "exact"])
 
     return apply
 
@@ -122,17 +135,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     """(doc_id, item_id, windows, item_windows, share, reparameterised) of each pair of a document and an item that it contains.
 
     windows: how many of the item's windows the document has in alignments with consistent slots. share: of the item's
-    windows. reparameterised: whether a slot's value differs. Rows without an id and null or empty texts match nothing; so
-    do items of fewer than SHORTEST words. Repeated rows of an id count once. An empty table gives an empty result. The
-    benchmark's size isn't bounded: the filter's size is, and the join is Spark's to plan.
+    windows. reparameterised: whether a slot's value differs. Windows without a template, and items of fewer than SHORTEST
+    words, match by their exact words only; LEAST_WINDOWS or LEAST_SHARE hold for the windows with a template alone too,
+    so windows without one never hide a reparameterised copy. Rows without an id and texts without words match nothing.
+    Repeated rows of an id count once. An empty table gives an empty result. The benchmark's size isn't bounded: the
+    filter's size is, and the join is Spark's to plan.
     """
     spark = docs.sparkSession
     ids = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text_column).alias("text")).where("item_id is not null and text is not null")
     sizes = (*range(SHORTEST, WINDOW), WINDOW)
-    shape = [T.StructField("place", T.LongType()), T.StructField("window", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))]
-    asked = items.mapInArrow(_window_batches("item_id", sizes, True), T.StructType([items.schema["item_id"], *shape])).dropDuplicates(["item_id", "place", "window"]).cache()
-    totals = asked.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"))
+    shape = [T.StructField("place", T.LongType()), T.StructField("window", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("exact", T.IntegerType())]
+    asked = items.mapInArrow(_window_batches("item_id", sizes, tuple(range(1, WINDOW + 1)), True), T.StructType([items.schema["item_id"], *shape])).dropDuplicates(["item_id", "place", "window"]).cache()
+    totals = asked.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(F.col("exact") == 0, F.col("place"))).alias("item_typed"))
+    exact = tuple(sorted(r[0] for r in asked.where("exact > 0").select("exact").distinct().collect()))  # at most WINDOW
     bits = min(MOST_BITS, max(1 << 16, 1 << (FILTER_BITS * asked.count()).bit_length()))
     bit = F.pmod(F.expr(f"case when window >= 0 then window % {bits}L else (window % {bits}L) + {(1 << 64) % bits}L end"), F.lit(bits)) + 1
     parts = asked.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("marks")).collect()
@@ -140,14 +156,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     for bucket, some in parts:
         marks[(bucket - 1) * 4096 : (bucket - 1) * 4096 + len(some)] = some
     shared = spark.sparkContext.broadcast(bytes(marks))
-    found = ids.mapInArrow(_window_batches("doc_id", sizes, False, shared), T.StructType([ids.schema["doc_id"], *shape])).dropDuplicates(["doc_id", "place", "window", "slots"])
-    theirs = asked.select("item_id", F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"))
-    pairs = found.join(theirs, "window").select("doc_id", "item_id", "item_place", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("pairs"))
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_place").alias("n"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    found = ids.mapInArrow(_window_batches("doc_id", sizes, exact, False, shared), T.StructType([ids.schema["doc_id"], *shape])).drop("exact").dropDuplicates(["doc_id", "place", "window", "slots"])
+    theirs = asked.select("item_id", F.col("place").alias("item_place"), "window", "exact", F.col("slots").alias("item_slots"))
+    pairs = found.join(theirs, "window").select("doc_id", "item_id", "item_place", "exact", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("pairs"))
+    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_place").alias("n"), F.countDistinct(F.when(F.col("exact") == 0, F.col("item_place"))).alias("typed"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
     size = F.size("pairs")
     aligned = aligned.where((F.size(F.array_distinct("pairs.item_slots")) == size) & (F.size(F.array_distinct("pairs.slots")) == size))
     changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
-    totalled = aligned.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.max(changed).alias("reparameterised")).join(totals, "item_id")
-    n = F.least("n", "item_windows")
-    out = totalled.select("doc_id", "item_id", n.alias("windows"), "item_windows", F.round(n / F.col("item_windows"), 6).alias("share"), "reparameterised")
-    return out.where((F.col("windows") >= LEAST_WINDOWS) | (F.col("share") >= LEAST_SHARE))
+    totalled = aligned.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.sum("typed").alias("typed"), F.max(changed).alias("reparameterised")).join(totals, "item_id")
+    n, typed = F.least("n", "item_windows"), F.least("typed", "item_typed")
+    enough = (n >= LEAST_WINDOWS) | (F.round(n / F.col("item_windows"), 6) >= LEAST_SHARE) | ((F.col("item_typed") > 0) & (F.round(F.try_divide(typed, "item_typed"), 6) >= LEAST_SHARE))
+    return totalled.where(enough).select("doc_id", "item_id", n.alias("windows"), "item_windows", F.round(n / F.col("item_windows"), 6).alias("share"), "reparameterised")

@@ -454,5 +454,14 @@ def test_contamination_equals_brute_force(spark):
     assert got == expected and got
 
 
+def test_exact_copies_of_items_without_templates_are_found(spark):
+    sums, short, names = "What is 48 / 6 + 12 * 3 - 7 + 9?", "Name the capital", "Ask Anna, Bernd, Carla, Dora and Emil of Ulm"
+    mixed = "12 13 14 15 16 17 18 19 20 21 22 23 then count all of those numbers up in order"
+    items = spark.createDataFrame([(1, sums), (2, short), (3, names), (4, "?!"), (5, mixed)], "item_id long, text string")
+    texts = [f"Intro. {sums} End.", f"see {sums.lower()} there", sums.replace("12", "13"), f"Please: {short}, now.", "name a capital", f"so {names}.", names.replace("Dora", "Erna"), "", None, mixed]
+    got = {(r.doc_id, r.item_id): r.reparameterised for r in decontaminate.contaminated(documents(spark, texts), items).collect()}
+    assert got == {(0, 1): False, (1, 1): False, (3, 2): False, (5, 3): False, (9, 5): False}
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
