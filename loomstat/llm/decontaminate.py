@@ -2,7 +2,7 @@
 
 Numbers, names and units become typed placeholders, so a question with other parameters has the same template. Windows of
 templates are joined by hash, and the slots of each alignment are checked: one value of the benchmark must always stand
-for one value in the document and the other way round. Where a window has too few words besides slots, and for items too
+for one value in the document and the other way round; windows that break this don't count. Where a window has too few words besides slots, and for items too
 short for a template, the hash of the exact words, slot values included, is joined instead.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,10 +131,35 @@ def _window_batches(id_name: str, sizes: tuple[int, ...], exact: tuple[int, ...]
     return apply
 
 
+def _consistent(clean: DataFrame, clashing: DataFrame) -> DataFrame:
+    """(doc_id, item_id, n, typed, pairs) of alignments. Of a clashing one, the windows with a pair that clashes are dropped.
+
+    Of pairs that share only one of their two values a verbatim one holds, else the one in the most windows, and of equals
+    none. The rest counts if it is at least LEAST_SHARE of the alignment's windows.
+    """
+
+    def places(hits: Column) -> Column:
+        return F.array_distinct(F.transform(hits, lambda x: x["item_place"]))
+
+    def typed(hits: Column) -> Column:
+        return F.size(places(F.filter(hits, lambda x: x["exact"] == 0))).cast("long")
+
+    count = F.size(places(F.col("hits"))).cast("long")
+    weight = lambda p: F.struct(p["item_slots"] == p["slots"], F.size(F.filter("all", lambda x: x == p)))
+    weighed = F.transform("pairs", lambda p: F.struct(p.alias("p"), weight(p).alias("w")))
+    rival = lambda a, b: ((a["p"]["item_slots"] == b["p"]["item_slots"]) != (a["p"]["slots"] == b["p"]["slots"])) & (a["w"] <= b["w"])
+    some = clashing.withColumn("before", count).withColumn("weighed", weighed)
+    some = some.withColumn("lost", F.transform(F.filter("weighed", lambda a: F.exists("weighed", lambda b: rival(a, b))), lambda a: a["p"]))
+    some = some.withColumn("hits", F.filter("hits", lambda x: ~F.arrays_overlap(x["pairs"], F.col("lost")))).withColumn("pairs", F.array_except("pairs", "lost"))
+    some = some.where(count >= F.col("before") * LEAST_SHARE)
+    columns = ["doc_id", "item_id", count.alias("n"), typed(F.col("hits")).alias("typed"), "pairs"]
+    return clean.select(*columns).unionByName(some.select(*columns))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, item_windows, share, reparameterised) of each pair of a document and an item that it contains.
 
-    windows: how many of the item's windows the document has in alignments with consistent slots. share: of the item's
+    windows: how many of the item's windows the document has in alignments, without those whose slots clash. share: of the item's
     windows. reparameterised: whether a slot's value differs. Windows without a template, and items of fewer than SHORTEST
     words, match by their exact words only; LEAST_WINDOWS or LEAST_SHARE hold for the windows with a template alone too,
     so windows without one never hide a reparameterised copy. Rows without an id and texts without words match nothing.
@@ -159,9 +184,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     found = ids.mapInArrow(_window_batches("doc_id", sizes, exact, False, shared), T.StructType([ids.schema["doc_id"], *shape])).drop("exact").dropDuplicates(["doc_id", "place", "window", "slots"])
     theirs = asked.select("item_id", F.col("place").alias("item_place"), "window", "exact", F.col("slots").alias("item_slots"))
     pairs = found.join(theirs, "window").select("doc_id", "item_id", "item_place", "exact", (F.col("place") - F.col("item_place")).alias("shift"), F.arrays_zip("item_slots", "slots").alias("pairs"))
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.countDistinct("item_place").alias("n"), F.countDistinct(F.when(F.col("exact") == 0, F.col("item_place"))).alias("typed"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
+    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_list(F.struct("item_place", "exact", "pairs")).alias("hits"), F.flatten(F.collect_list("pairs")).alias("all"))
+    aligned = aligned.withColumn("pairs", F.array_distinct("all"))
     size = F.size("pairs")
-    aligned = aligned.where((F.size(F.array_distinct("pairs.item_slots")) == size) & (F.size(F.array_distinct("pairs.slots")) == size))
+    clean = (F.size(F.array_distinct("pairs.item_slots")) == size) & (F.size(F.array_distinct("pairs.slots")) == size)
+    aligned = _consistent(aligned.where(clean), aligned.where(~clean))
     changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
     totalled = aligned.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.sum("typed").alias("typed"), F.max(changed).alias("reparameterised")).join(totals, "item_id")
     n, typed = F.least("n", "item_windows"), F.least("typed", "item_typed")

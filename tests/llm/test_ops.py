@@ -454,6 +454,17 @@ def test_contamination_equals_brute_force(spark):
     assert got == expected and got
 
 
+def test_one_changed_mention_costs_its_windows_only(spark):
+    rng = random.Random(7)
+    parts = [sentence(rng, 30) for _ in range(3)]
+    item = f"{parts[0]} with Robert {parts[1]} and Robert {parts[2]}"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [item.replace("and Robert", "and Walter"), item.replace("Robert", "Walter"), item]
+    got = {r.doc_id: (r.windows, r.item_windows, r.reparameterised) for r in decontaminate.contaminated(documents(spark, texts), items).collect()}
+    total = got[2][1]
+    assert got == {0: (total - decontaminate.WINDOW, total, False), 1: (total, total, True), 2: (total, total, False)}
+
+
 def test_exact_copies_of_items_without_templates_are_found(spark):
     sums, short, names = "What is 48 / 6 + 12 * 3 - 7 + 9?", "Name the capital", "Ask Anna, Bernd, Carla, Dora and Emil of Ulm"
     mixed = "12 13 14 15 16 17 18 19 20 21 22 23 then count all of those numbers up in order"
