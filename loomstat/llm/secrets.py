@@ -29,6 +29,8 @@ from . import words
 
 #: Characters that the layers of one text may hold together. A text beyond it is reported as an oversized_layer, not passed over.
 MOST_DECODED = 64 << 20
+#: Bytes of zstd data that are decompressed at once, as its output can't be bounded: about 8 MB at most.
+FED = 256
 #: By priority: a span goes to the first that finds it. The group of the number is the secret.
 DETECTORS = [
     ("private_key", re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----.*?(?:-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----|\Z)", re.S), 0),
@@ -45,7 +47,7 @@ DETECTORS = [
 #: A text without a match has no secret and no layer. It is RE2's, so all of a column is tested at once.
 TRIGGER = (
     r"-----BEGIN|AKIA|ASIA|gh[pousr]_|github_pat_|xox[abeprs]-|AIza|[rs]k_(live|test)_|eyJ|://[^\s/:@]+:|(?i:key|secret|token|passw|pwd|bearer)"
-    r"|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|[A-Za-z0-9+/_-]{20,}"
+    r"|%[0-9A-Fa-f]{2}|\\[uUx][0-9A-Fa-f{]|&#|[A-Za-z0-9+/_-]{16,}"
 )
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
@@ -68,15 +70,24 @@ def _plausible(kind: str, value: str) -> bool:
 
 
 def _inflate(data: bytes, kind: str, most: int) -> bytes | None:
-    """The bytes inside, None if it isn't such data."""
+    """The bytes inside of all members one after another, None if it isn't such data. What follows the last member is left out."""
+    out, made = b"", False
     try:
-        if kind == "zstd":
-            out = zstandard.ZstdDecompressor().stream_reader(data).read(most + 1)
-        else:
-            machine = {"gzip": lambda: zlib.decompressobj(31), "zlib": lambda: zlib.decompressobj(15), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
-            out = machine.decompress(data, most + 1)
+        while data and len(out) <= most:
+            if kind == "zstd":
+                machine, at, some, size = zstandard.ZstdDecompressor().decompressobj(), 0, [], len(out)
+                while at < len(data) and not machine.eof and size <= most:
+                    some.append(machine.decompress(data[at : at + FED]))
+                    size += len(some[-1])
+                    at += FED
+                out, data = out + b"".join(some), machine.unused_data + data[at:] if machine.eof else b""
+            else:
+                machine = {"gzip": lambda: zlib.decompressobj(31), "zlib": lambda: zlib.decompressobj(15), "bzip2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
+                out, data = out + machine.decompress(data, most + 1 - len(out)), machine.unused_data
+            made, data = True, data.lstrip(b"\0")  # members may be padded
     except (zlib.error, OSError, lzma.LZMAError, zstandard.ZstdError, EOFError, ValueError):
-        return None
+        if not made:
+            return None
     if len(out) > most:
         raise Oversized
     return out

@@ -1,13 +1,18 @@
 """Each operator against brute force, and its defined results for nulls, empty, long, tied and repeated rows and clashing columns."""
 
 import base64
+import bz2
 import gzip
+import lzma
 import random
 import urllib.parse
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from loomstat.llm import classifier, decontaminate, packing, queries, repeats, secrets, sharding, shared, simhash, substrings, suffixes, topk, urls, words
@@ -334,6 +339,19 @@ def test_spans_are_exact_for_escapes():
     assert [f[1:3] for f in secrets.scan(text) if f[0] == "aws_access_key"] == [(2, 2 + 3 + len(KEY) - 1)]
 
 
+def test_short_base64_runs_are_suspects():
+    for run, secret in (("cHdkPVhrOSNtUTJ6", "Xk9#mQ2z"), ("dG9rZW49YTFiMmMzZDQ=", "a1b2c3d4")):
+        assert [f[5] for f in secrets.scan(f"see {run} now")] == [secret]
+        assert secrets._suspects(pa.array([f"see {run} now", "see nothing", None])) == [0]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.ZstdCompressor().compress])
+@pytest.mark.parametrize("tail", [b"", b"\0\0\0", b"no member"])
+def test_all_members_of_a_compressed_run_are_scanned(pack, tail):
+    run = base64.b64encode(pack(b"nothing in here") + pack(f" but {KEY} there ".encode()) + pack(b"the end") + tail).decode()
+    assert [f[5] for f in secrets.scan(f"see {run} now")] == [KEY]
+
+
 def test_cycles_and_plain_text_end():
     assert secrets.scan("%25" * 50 + " plain words only") == []
     assert secrets.scan("a" * 100_000) == [] and secrets.scan("") == []
