@@ -27,8 +27,12 @@ from pyspark.sql import types as T
 
 from . import words
 
-#: Characters that the layers of one text may hold together. A text beyond it is reported as an oversized_layer, not passed over.
+#: Characters that the decompressed layers of one text may hold together. One beyond it is reported as an oversized_layer, not passed over.
 MOST_DECODED = 64 << 20
+#: Compressed runs of one text that may turn out too large before all further ones are reported without a try.
+MOST_BOMBS = 16
+#: Rewritten copies and decoded runs of one text may hold together MOST_DECODED and so many times its length.
+COPIES = 64
 #: Bytes of zstd data that are decompressed at once, as its output can't be bounded: about 8 MB at most.
 FED = 256
 #: By priority: a span goes to the first that finds it. The group of the number is the secret.
@@ -175,8 +179,12 @@ def _joined(text: str) -> str:
 
 
 def scan(text: str, most: int = MOST_DECODED) -> list[tuple[str, int, int, int, str, str]]:
-    """(kind, start, end, depth, path, value) of each secret, spans in characters of the text; the shallowest layer that shows a secret counts."""
+    """(kind, start, end, depth, path, value) of each secret, spans in characters of the text; the shallowest layer that shows a secret counts.
+
+    Decompressed layers may hold `most` characters together. One beyond that is reported by its own span, and all else is scanned.
+    """
     todo, found, taken, spent = [_Layer(_joined(text), None, None, "", frozenset())], [], {}, 0
+    copied = bombs = 0
     while todo:
         layer = todo.pop(0)
         depth = layer.path.count(">") + 1 if layer.path else 0
@@ -192,33 +200,48 @@ def scan(text: str, most: int = MOST_DECODED) -> list[tuple[str, int, int, int,
                     continue
                 taken[(span, value, kind)] = depth
                 found.append((kind, *span, depth, layer.path, value))
-        made = []
-        try:
-            if "%" in layer.text:
-                made.append(layer.rewritten(_PERCENT, _percent, "url"))
-                for m in _PERCENT.finditer(layer.text):
-                    data = bytes.fromhex(m[0].replace("%", ""))
-                    if any(data.startswith(x) for x in _MAGIC) and (got := _unwrap(data, most)) and got[1]:
-                        made.append(layer.blob(got[0], *m.span(), f"url>{got[1]}"))
-            if "\\" in layer.text or "&#" in layer.text:
-                made.append(layer.rewritten(_ESCAPE, _escape, "unicode"))
-                if made[-1] is not None:
-                    made[-1].text = _joined(made[-1].text)
-            for m in _BASE64.finditer(layer.text):
-                run = re.sub(r"\s", "", m[0]).rstrip("=").replace("-", "+").replace("_", "/")
-                if len(run) % 4 == 1:
-                    continue
-                if got := _unwrap(base64.b64decode(run + "=" * (-len(run) % 4)), most):
-                    made.append(layer.blob(got[0], *m.span(), f"base64>{got[1]}".strip(">")))
-            for x in made:
-                if x is not None:
-                    spent += len(x.text)
-                    if spent > most:
-                        raise Oversized
-                    todo.append(x)
-        except Oversized:
-            found.append(("oversized_layer", *layer.span(0, len(layer.text)), depth + 1, layer.path, ""))
-            return found
+        made: list[tuple[_Layer | None, tuple[int, int]]] = []  # the layer and its place in this one
+
+        def unwrapped(data: bytes, at: tuple[int, int], step: str, packed_only: bool) -> None:
+            nonlocal spent, bombs
+            try:
+                if any(data.startswith(x) for x in _MAGIC) and bombs >= MOST_BOMBS:
+                    raise Oversized
+                got = _unwrap(data, most - spent)
+            except Oversized:
+                bombs += 1
+                found.append(("oversized_layer", *layer.span(*at), depth + 1, layer.path, ""))
+                return
+            if got and (got[1] or not packed_only):
+                spent += len(got[0]) if got[1] else 0
+                made.append((layer.blob(got[0], *at, f"{step}>{got[1]}".strip(">")), at))
+
+        def rewritten(pattern: re.Pattern, decode, step: str) -> None:
+            if (new := layer.rewritten(pattern, decode, step)) is not None:
+                new.text = _joined(new.text)
+                spans = [m.span() for m in pattern.finditer(layer.text)]
+                made.append((new, (spans[0][0], spans[-1][1])))
+
+        if "%" in layer.text:
+            rewritten(_PERCENT, _percent, "url")
+            for m in _PERCENT.finditer(layer.text):
+                data = bytes.fromhex(m[0].replace("%", ""))
+                if any(data.startswith(x) for x in _MAGIC):
+                    unwrapped(data, m.span(), "url", True)
+        if "\\" in layer.text or "&#" in layer.text:
+            rewritten(_ESCAPE, _escape, "unicode")
+        for m in _BASE64.finditer(layer.text):
+            run = re.sub(r"\s", "", m[0]).rstrip("=").replace("-", "+").replace("_", "/")
+            if len(run) % 4 != 1:
+                unwrapped(base64.b64decode(run + "=" * (-len(run) % 4)), m.span(), "base64", False)
+        for new, at in made:
+            if new is None:
+                continue
+            copied += len(new.text)
+            if copied > most + COPIES * len(text):
+                found.append(("oversized_layer", *layer.span(*at), depth + 1, layer.path, ""))
+            else:
+                todo.append(new)
     return found
 
 
@@ -231,8 +254,8 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """(doc_id, kind, start, end, depth, path, digest) of every secret; digest is the SHA-256 of its value, which isn't shown.
 
     start and end count characters of the text. Null and empty texts have none. A row without an id is scanned and reported
-    without one. Repeated rows report repeated findings. A text whose layers decode to more than MOST_DECODED
-    characters gets an oversized_layer finding beside what was found before. No shuffle.
+    without one. Repeated rows report repeated findings. A layer beyond MOST_DECODED characters, or beyond
+    COPIES of the text, gets an oversized_layer finding, and the others are scanned. No shuffle.
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     fields = [("kind", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("depth", T.LongType()), ("path", T.StringType()), ("digest", T.StringType())]
@@ -254,7 +277,7 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def redacted(text: str, mark: str = "[REDACTED]") -> str:
-    """The text with the spans of all secrets replaced; an oversized layer's text goes as a whole."""
+    """The text with the spans of all secrets replaced; an oversized layer goes with what it was unwrapped from."""
     out, at = [], 0
     for start, end in sorted((f[1], f[2]) for f in scan(text)):
         if start >= at:

@@ -352,6 +352,26 @@ def test_all_members_of_a_compressed_run_are_scanned(pack, tail):
     assert [f[5] for f in secrets.scan(f"see {run} now")] == [KEY]
 
 
+def test_an_oversized_layer_leaves_the_others_scanned():
+    bomb = base64.b64encode(gzip.compress(b"a" * 100_000)).decode()
+    nested = base64.b64encode(f"text with {bomb} inside".encode()).decode()
+    hidden = base64.b64encode(f"the key is {KEY} here".encode()).decode()
+    packed = base64.b64encode(gzip.compress(f"the other key is {KEY} here".encode())).decode()
+    for first in (bomb, nested):
+        text = f"see {first} and {hidden} and {packed} end"
+        found = secrets.scan(text, 50_000)
+        assert [f[1:3] for f in found if f[0] == "oversized_layer"] == [(4, 4 + len(first))]
+        assert [text[f[1] : f[2]] for f in found if f[5] == KEY] == [hidden, packed]
+    many = " ".join(base64.b64encode(bz2.compress(b"a" * (100_000 + i))).decode() for i in range(40))
+    assert [f[0] for f in secrets.scan(many, 50_000)] == ["oversized_layer"] * 40
+
+
+def test_a_rewritten_copy_is_no_expansion():
+    assert secrets.scan("plain words %41 &#65; " * 5000, 1000) == []
+    assert [f[5] for f in secrets.scan("plain words %41 " * 5000 + KEY, 1000)] == [KEY]
+    assert {f[0] for f in secrets.scan("%" + "25" * 3000 + "41", 1000)} == {"oversized_layer"}  # 3000 copies
+
+
 def test_cycles_and_plain_text_end():
     assert secrets.scan("%25" * 50 + " plain words only") == []
     assert secrets.scan("a" * 100_000) == [] and secrets.scan("") == []
