@@ -8,12 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions import stats
 
-#: Rows of a sample on which distances between all pairs are taken.
-MOST_SAMPLED = 2000
+#: Bytes of vectors that a cell of the grid of all pairs holds at once.
+CELL_BYTES = 32 << 20
 
 
 def reconstruction(df: DataFrame, actual: str, rebuilt: str, sources: list[str] | None = None) -> DataFrame:
@@ -116,30 +116,55 @@ def kmeans_sweep(df: DataFrame, vector: str, key: str, ks: tuple[int, ...] = tup
     return out
 
 
-def neighbours(df: DataFrame, vector: str, key: str, k: int = 10, skip_first: bool = False, most: int = MOST_SAMPLED) -> DataFrame:
-    """(key, rank, neighbour, distance): the k nearest of a sample of at most `most` rows to each of its rows; skip_first leaves the very nearest out."""
-    from .units import sample
-
-    some = sample(df.select(key, F.col(vector).cast("array<double>").alias("_v")), most, 42, key)
-    table = some.orderBy(key).toArrow().combine_chunks()  # of at most `most` rows
-    if not table.num_rows:
-        return df.sparkSession.createDataFrame([], "key bigint, rank bigint, neighbour bigint, distance double")
-    ids = table.column(0).combine_chunks().to_numpy(zero_copy_only=False)
-    x = np.stack(table.column(1).combine_chunks().to_numpy(zero_copy_only=False))
-    shared = df.sparkSession.sparkContext.broadcast((ids, x))
+def neighbours(df: DataFrame, vector: str, key: str, k: int = 10, skip_first: bool = False, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """(key, rank, neighbour, distance): the k nearest of all rows to each row, equal distances by key; skip_first leaves the very nearest out. Rows without a key or vector take no part.
+
+    All pairs are compared in the cells of a grid of row blocks; a cell keeps the k best of its pairs for each of its queries.
+    """
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).where("key is not null and v is not null")
+    n, width = rows.agg(F.count("*"), F.max(F.size("v"))).first()
+    cells = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    side = max(1, -(-n * 8 * (width or 1) // cell_bytes), min(round(cells**0.5), n // 256))
+    block, every = F.pmod(F.xxhash64("key"), F.lit(side)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    corpus = rows.select(block.alias("at"), every.alias("of"), F.lit(0).alias("side"), "key", "v")
+    asked = rows.select(every.alias("at"), block.alias("of"), F.lit(1).alias("side"), "key", "v")
+    want = k + int(skip_first)
+
+    def nearest(names: np.ndarray, points: np.ndarray, ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        squares = (points**2).sum(1)
+        for i in range(0, len(ids), max(1, (4 << 20) // len(names))):
+            some, own = x[i : i + max(1, (4 << 20) // len(names))], ids[i : i + max(1, (4 << 20) // len(names))]
+            size = (some**2).sum(1)
+            rough = size[:, None] + squares[None] - 2 * some @ points.T
+            rough[own[:, None] == names[None]] = np.inf
+            limit = np.partition(rough, min(want, len(names)) - 1, axis=1)[:, min(want, len(names)) - 1]
+            slack = 1e-9 * (size + squares.max())  # far more than products of matrices are off by
+            q, j = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
+            d = np.sqrt(((points[j] - some[q]) ** 2).sum(1))
+            order = np.lexsort((names[j], d, q))
+            q, j, d = q[order], j[order], d[order]
+            keep = np.arange(len(q)) - np.searchsorted(q, q) < want
+            yield pa.RecordBatch.from_arrays([pa.array(own[q[keep]]), pa.array(names[j[keep]]), pa.array(d[keep])], ["key", "neighbour", "distance"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, points = shared.value
+        cell, held, ready = None, [], None
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False)
-            for i in at:
-                d = np.sqrt(((points - points[i]) ** 2).sum(1))
-                d[i] = np.inf
-                order = np.lexsort((names, d))[int(skip_first) :][: min(k, len(d) - 1 - int(skip_first))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), names[i])), pa.array(np.arange(1, len(order) + 1)), pa.array(names[order]), pa.array(d[order])], ["key", "rank", "neighbour", "distance"])
-
-    rows = df.sparkSession.range(len(ids))
-    return rows.mapInArrow(apply, T.StructType([T.StructField("key", T.LongType()), T.StructField("rank", T.LongType()), T.StructField("neighbour", T.LongType()), T.StructField("distance", T.DoubleType())]))
+            at, of, kind, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("at", "of", "side", "key"))
+            x = np.stack(batch.column("v").to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, 0))
+            edges = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1]) | (kind[1:] != kind[:-1]), True]) if batch.num_rows else []
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if (at[a], of[a]) != cell:
+                    cell, held, ready = (at[a], of[a]), [], None
+                if kind[a] == 0:
+                    held.append((ids[a:b].copy(), x[a:b]))
+                elif held or ready:
+                    ready = ready or tuple(np.concatenate(y) for y in zip(*held, strict=True))
+                    yield from nearest(*ready, ids[a:b], x[a:b])
+
+    grid = corpus.unionByName(asked).repartition(max(cells, min(side * side, 4 * cells)), "at", "of").sortWithinPartitions("at", "of", "side")
+    found = grid.mapInArrow(apply, "key bigint, neighbour bigint, distance double")
+    place = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour")).cast("long") - int(skip_first)
+    return found.withColumn("rank", place).where((F.col("rank") >= 1) & (F.col("rank") <= k)).select("key", "rank", "neighbour", "distance")
 
 
 def stability(a: np.ndarray, b: np.ndarray, k: int = 10) -> dict[str, float]:

@@ -294,6 +294,16 @@ def test_neighbours_and_stability(spark):
     assert math.isclose(embedding.stability(x, x @ turn)["score"], 1.0, abs_tol=1e-9)
 
 
+def test_neighbours_of_more_rows_than_a_sample_or_a_cell(spark):
+    x = np.random.default_rng(4).integers(0, 9, (2300, 4)).astype(float)  # with ties
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())] + [(9000, None)], "i long, v array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    expected = {(i, r + 1, int(j)) for i in range(len(x)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+    for cell in (1 << 25, 20_000):
+        assert {(r.key, r.rank, r.neighbour) for r in embedding.neighbours(df, "v", "i", 3, cell_bytes=cell).collect()} == expected
+
+
 def test_statistics():
     k2, p = stats.normality(100, 0.2, 3.1)
     assert 0 < p < 1 and k2 > 0
