@@ -34,18 +34,18 @@ class Plan:
 
 
 def assigned(df: DataFrame, plan: Plan, size: str, rank: str, bin_name: str, offset_name: str | None = None) -> DataFrame:
-    """df with each row's bin, and the offset in it, looked up in the plan by binary search. size and rank are longs below 2 ** 24 and 2 ** 39."""
+    """df with each row's bin, and the offset in it, looked up in the plan by binary search. size and rank are longs below 2 ** 25 and 2 ** 38."""
     order = np.lexsort((plan.first, plan.size))
     sizes, first, bins, each, at = (np.array(x, np.int64)[order] for x in (plan.size, plan.first, plan.bin, plan.each, plan.at))
     offsets = np.array([*plan.offsets, 0], np.int64)
-    shared = df.sparkSession.sparkContext.broadcast(((sizes << 39) + first, first, bins, each, at, offsets))
+    shared = df.sparkSession.sparkContext.broadcast(((sizes << 38) + first, first, bins, each, at, offsets))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first, bins, each, at, offsets = shared.value
         for batch in batches:
             if batch.num_rows:
                 s, r = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in (size, rank))
-                k = np.searchsorted(keys, (s << 39) + r, "right") - 1
+                k = np.searchsorted(keys, (s << 38) + r, "right") - 1
                 past = r - first[k]
                 extra = [pa.array(bins[k] + past // each[k])] + ([pa.array(offsets[np.minimum(at[k] + past % each[k], len(offsets) - 1)])] if offset_name else [])
                 yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, bin_name, *([offset_name] if offset_name else [])])

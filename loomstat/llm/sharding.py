@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from . import plans
 from .shared import checkpointed, ranked
 
-#: Bytes of a shard, and of a unit in which sizes are rounded up; their quotient bounds the different sizes of groups that fit.
+#: Bytes of a shard, and of a unit in which sizes are rounded up: exact sizes by default. The plan's length follows the different sizes that occur.
 CAPACITY = 16 << 20
-UNIT = 256
+UNIT = 1
 
 
 class CapacityTree:
