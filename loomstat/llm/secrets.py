@@ -1,20 +1,22 @@
 """Secret scans with a recursive decoding worklist.
 
-Every layer of a text is scanned; percent codes, Unicode escapes, base64 runs and compressed bytes in it make new layers,
-until none is new. A layer that equals one that it was unwrapped from is a cycle and is left out. Each character of a
-layer knows its span of the original text, so that findings point there.
+Every layer of a text is scanned; percent codes, Unicode escapes, base64 and hex runs, UTF-16 and compressed bytes in it make
+new layers, until none is new. One set of digests holds all layers of a text, so that layers that are had in two ways count
+once, and a layer that equals one that it was unwrapped from is a cycle and is left out. Each layer maps its characters to
+spans of the original text by a few segments, so that findings point there.
 """
 
 from __future__ import annotations
 
 import base64
+import bisect
 import bz2
 import hashlib
 import lzma
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,9 @@ from . import words
 
 #: Characters that the decompressed layers of one text may hold together. One beyond it is reported as an oversized_layer, not passed over.
 MOST_DECODED = 64 << 20
-#: Compressed runs of one text that may turn out too large before all further ones are reported without a try.
+#: Once decompressed layers hold MOST_DECODED together, or so many runs were too large, each further run may still hold a FLOOR-th of it.
 MOST_BOMBS = 16
+FLOOR = 64
 #: Rewritten copies and decoded runs of one text may hold together MOST_DECODED and so many times its length.
 COPIES = 64
 #: Bytes of zstd data that are decompressed at once, as its output can't be bounded: about 8 MB at most.
@@ -55,6 +58,7 @@ TRIGGER = (
 )
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
+_HEX = re.compile(r"(?<![0-9A-Wa-wY-Zy-z])(?:[0-9A-Fa-f]{2}){8,}(?![0-9A-Za-z])")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:(?:[A-Za-z0-9+/]{4}){15,19}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
 _MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bzip2", b"\x28\xb5\x2f\xfd": "zstd", b"\xfd7zXZ": "xz", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib"}
 
@@ -97,61 +101,115 @@ def _inflate(data: bytes, kind: str, most: int) -> bytes | None:
     return out
 
 
-def _unwrap(data: bytes, most: int) -> tuple[str, str] | None:
-    """Text of bytes and how it was had: as they are, or out of a compressed layer."""
-    steps = []
+def _printable(text: str) -> bool:
+    return len(text) >= 4 and sum(c.isprintable() or c in "\r\n\t" for c in text) >= 0.9 * len(text)
+
+
+def _text(data: bytes) -> tuple[str, str] | None:
+    """Text of bytes and the encoding's step: none for UTF-8. UTF-16 has a mark, or a zero in half of its high bytes."""
+    try:
+        text = data.decode()
+        if _printable(text):
+            return text, ""
+    except UnicodeDecodeError:
+        pass
+    even = data[: len(data) // 2 * 2]
+    for name, mark, high in (("utf-16-le", b"\xff\xfe", 1), ("utf-16-be", b"\xfe\xff", 0)):
+        if len(even) >= 8 and (even.startswith(mark) or 4 * even[high::2].count(0) >= len(even)):
+            text = even.decode(name, "replace").lstrip("\ufeff")
+            if _printable(text):
+                return text, "utf16"
+    return None
+
+
+def _unwrap(data: bytes, most: int) -> tuple[str, str, int] | None:
+    """Text of bytes, how it was had (as it is, or out of compressed layers), and how many bytes were decompressed."""
+    steps, seen, spent = [], {hashlib.blake2b(data, digest_size=16).digest()}, 0
     while kind := next((k for m, k in _MAGIC.items() if data.startswith(m)), None):
-        inner = _inflate(data, kind, most)
-        if inner is None or inner == data:
+        inner = _inflate(data, kind, most - spent)
+        if inner is None or (digest := hashlib.blake2b(inner, digest_size=16).digest()) in seen:
             break
+        seen.add(digest)
         data = inner
+        spent += len(data)
         steps.append(kind)
-        if len(steps) > 64:
-            raise Oversized
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if len(text) < 4 or sum(c.isprintable() or c in "\r\n\t" for c in text) < 0.9 * len(text):
-        return None
-    return text, ">".join(steps)
+    got = _text(data)
+    return got and (got[0], ">".join(steps + [got[1]] * bool(got[1])), spent)
 
 
 class _Layer:
-    """A text, the span of the original of each character, how it was had, and the digests of the layers around it."""
+    """A text, how it was had, the digests of the texts around it, and segments that map its characters to spans of the original.
 
-    def __init__(self, text: str, start: np.ndarray | None, end: np.ndarray | None, path: str, around: frozenset[bytes]):
-        self.text, self.start, self.end, self.path = text, start, end, path
-        self.around = around | {hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()}
+    Segment k holds the characters from at[k] on. Its first one has the span low[k], high[k]; the spans of the others are the
+    same, or each one further if the segment is `moving`, as it is where nothing was decoded.
+    """
+
+    def __init__(self, text: str, at: np.ndarray, low: np.ndarray, high: np.ndarray, moving: np.ndarray, path: str, around: frozenset[bytes]):
+        if len(at) > 1:  # a segment that goes on like the one before is part of it, so that equal maps are equal arrays
+            by = np.diff(at) * moving[:-1]
+            new = np.r_[True, (moving[1:] != moving[:-1]) | (low[1:] != low[:-1] + by) | (high[1:] != high[:-1] + by)]
+            at, low, high, moving = at[new], low[new], high[new], moving[new]
+        self.text, self.at, self.low, self.high, self.moving, self.path = text, at, low, high, moving, path
+        digest = hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16)
+        self.known = digest.digest() in around
+        self.around = around | {digest.digest()}
+        for x in (at, low, high, moving):
+            digest.update(x.tobytes())
+        self.digest = digest.digest()
+
+    @classmethod
+    def whole(cls, text: str) -> _Layer:
+        return cls(text, np.array([0]), np.array([0]), np.array([1]), np.array([True]), "", frozenset())
+
+    def spans(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.searchsorted(self.at, i, "right") - 1
+        by = (i - self.at[k]) * self.moving[k]
+        return self.low[k] + by, self.high[k] + by
 
     def span(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if self.start is None else (int(self.start[a:b].min()), int(self.end[a:b].max()))
+        low, high = self.spans(np.array([a, b - 1]))
+        return int(low[0]), int(high[1])
 
-    def child(self, text: str, start: np.ndarray, end: np.ndarray, step: str) -> _Layer | None:
-        made = _Layer(text, start, end, f"{self.path}>{step}".strip(">"), self.around)
-        return None if made.around == self.around else made
+    def _step(self, step: str) -> str:
+        return f"{self.path}>{step}".strip(">")
 
-    def blob(self, text: str, a: int, b: int, step: str) -> _Layer | None:
+    def blob(self, text: str, a: int, b: int, step: str) -> _Layer:
         x, y = self.span(a, b)
-        return self.child(text, np.full(len(text), x), np.full(len(text), y), step)
+        return _Layer(text, np.array([0]), np.array([x]), np.array([y]), np.array([False]), self._step(step), self.around)
 
     def rewritten(self, pattern: re.Pattern, decode, step: str) -> _Layer | None:
         """All matches of a pattern replaced by decode(match): (text, its character's spans in the match) or None."""
-        start = np.arange(len(self.text)) if self.start is None else self.start
-        end = np.arange(1, len(self.text) + 1) if self.end is None else self.end
-        texts, starts, ends, at = [], [], [], 0
+        texts, kept, made, first, last, at, size = [], [], [], [], [], 0, 0
         for m in pattern.finditer(self.text):
             got = decode(m)
             if got is None:
                 continue
             text, spans = got
-            texts += [self.text[at : m.start()], text]
-            starts += [start[at : m.start()], np.array([start[a] for a, _ in spans], np.int64)]
-            ends += [end[at : m.start()], np.array([end[b - 1] for _, b in spans], np.int64)]
+            texts += [self.text[at : m.start()], _joined(text)]
+            kept.append((size, at, m.start()))
+            size += m.start() - at
+            made += range(size, size + len(text))
+            first += [a for a, _ in spans]
+            last += [b - 1 for _, b in spans]
+            size += len(text)
             at = m.end()
         if not texts:
             return None
-        return self.child("".join([*texts, self.text[at:]]), np.concatenate([*starts, start[at:]]), np.concatenate([*ends, end[at:]]), step)
+        texts.append(self.text[at:])
+        kept.append((size, at, len(self.text)))
+        to, source, end = np.array(kept).T
+        full = end > source
+        to, source, end = to[full], source[full], end[full]
+        # pieces that stay: where they begin, and where segments of this layer begin inside them
+        piece = np.searchsorted(source, self.at, "right") - 1
+        inside = (piece >= 0) & (self.at > source[np.maximum(piece, 0)]) & (self.at < end[np.maximum(piece, 0)]) if len(to) else np.zeros(len(self.at), bool)
+        cut = np.concatenate([source, self.at[inside]])
+        place = np.concatenate([to, (self.at - source[piece] + to[piece])[inside]]) if len(to) else to
+        (low, high), chars = self.spans(cut), (self.spans(np.array(first, np.int64))[0], self.spans(np.array(last, np.int64))[1])
+        moving = np.concatenate([self.moving[np.searchsorted(self.at, cut, "right") - 1], np.zeros(len(made), bool)])
+        place, low, high = np.concatenate([place, np.array(made, np.int64)]), np.concatenate([low, chars[0]]), np.concatenate([high, chars[1]])
+        order = np.argsort(place, kind="stable")
+        return _Layer("".join(texts), place[order], low[order], high[order], moving[order], self._step(step), self.around)
 
 
 def _percent(m: re.Match) -> tuple[str, list[tuple[int, int]]] | None:
@@ -181,46 +239,59 @@ def _joined(text: str) -> str:
 def scan(text: str, most: int = MOST_DECODED) -> list[tuple[str, int, int, int, str, str]]:
     """(kind, start, end, depth, path, value) of each secret, spans in characters of the text; the shallowest layer that shows a secret counts.
 
-    Decompressed layers may hold `most` characters together. One beyond that is reported by its own span, and all else is scanned.
+    Decompressed layers may hold `most` characters together, and beyond that a FLOOR-th of it each. A run that holds more is
+    reported by its own span, and all else is scanned.
     """
-    todo, found, taken, spent = [_Layer(_joined(text), None, None, "", frozenset())], [], {}, 0
-    copied = bombs = 0
+    whole = _Layer.whole(_joined(text))
+    todo, found, taken, seen = deque([whole]), [], {}, {whole.digest}
+    spent = copied = bombs = 0
     while todo:
-        layer = todo.pop(0)
+        layer = todo.popleft()
         depth = layer.path.count(">") + 1 if layer.path else 0
-        accepted: list[tuple[int, int]] = []
+        accepted: list[tuple[int, int]] = []  # in order of their places; they don't overlap
         for kind, pattern, group in DETECTORS:
             for m in pattern.finditer(layer.text):
                 a, b = m.span(group)
-                if not _plausible(kind, layer.text[a:b]) or any(a < y and x < b for x, y in accepted):
+                k = bisect.bisect_left(accepted, (a, b))
+                if any(a < y and x < b for x, y in accepted[max(k - 1, 0) : k + 1]) or not _plausible(kind, layer.text[a:b]):
                     continue
-                accepted.append((a, b))
+                accepted.insert(k, (a, b))
                 value, span = layer.text[a:b], layer.span(a, b)
                 if taken.setdefault((span, value), depth) < depth or (span, value, kind) in taken:
                     continue
                 taken[(span, value, kind)] = depth
                 found.append((kind, *span, depth, layer.path, value))
-        made: list[tuple[_Layer | None, tuple[int, int]]] = []  # the layer and its place in this one
+
+        def oversized(a: int, b: int) -> None:
+            found.append(("oversized_layer", *layer.span(a, b), depth + 1, layer.path, ""))
+
+        def add(new: _Layer, at: list[tuple[int, int]]) -> None:
+            nonlocal copied
+            if new.known or new.digest in seen:
+                return
+            seen.add(new.digest)
+            copied += len(new.text)
+            if copied > most + COPIES * len(text):
+                for a, b in at:
+                    oversized(a, b)
+            else:
+                todo.append(new)
 
         def unwrapped(data: bytes, at: tuple[int, int], step: str, packed_only: bool) -> None:
             nonlocal spent, bombs
             try:
-                if any(data.startswith(x) for x in _MAGIC) and bombs >= MOST_BOMBS:
-                    raise Oversized
-                got = _unwrap(data, most - spent)
+                got = _unwrap(data, most // FLOOR if bombs >= MOST_BOMBS else max(most - spent, most // FLOOR))
             except Oversized:
                 bombs += 1
-                found.append(("oversized_layer", *layer.span(*at), depth + 1, layer.path, ""))
+                oversized(*at)
                 return
             if got and (got[1] or not packed_only):
-                spent += len(got[0]) if got[1] else 0
-                made.append((layer.blob(got[0], *at, f"{step}>{got[1]}".strip(">")), at))
+                spent += got[2]
+                add(layer.blob(got[0], *at, f"{step}>{got[1]}".strip(">")), [at])
 
         def rewritten(pattern: re.Pattern, decode, step: str) -> None:
             if (new := layer.rewritten(pattern, decode, step)) is not None:
-                new.text = _joined(new.text)
-                spans = [m.span() for m in pattern.finditer(layer.text)]
-                made.append((new, (spans[0][0], spans[-1][1])))
+                add(new, [m.span() for m in pattern.finditer(layer.text)])
 
         if "%" in layer.text:
             rewritten(_PERCENT, _percent, "url")
@@ -230,18 +301,12 @@ def scan(text: str, most: int = MOST_DECODED) -> list[tuple[str, int, int, int,
                     unwrapped(data, m.span(), "url", True)
         if "\\" in layer.text or "&#" in layer.text:
             rewritten(_ESCAPE, _escape, "unicode")
+        for m in _HEX.finditer(layer.text):
+            unwrapped(bytes.fromhex(m[0]), m.span(), "hex", False)
         for m in _BASE64.finditer(layer.text):
             run = re.sub(r"\s", "", m[0]).rstrip("=").replace("-", "+").replace("_", "/")
             if len(run) % 4 != 1:
                 unwrapped(base64.b64decode(run + "=" * (-len(run) % 4)), m.span(), "base64", False)
-        for new, at in made:
-            if new is None:
-                continue
-            copied += len(new.text)
-            if copied > most + COPIES * len(text):
-                found.append(("oversized_layer", *layer.span(*at), depth + 1, layer.path, ""))
-            else:
-                todo.append(new)
     return found
 
 
@@ -254,8 +319,8 @@ def find_secrets(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """(doc_id, kind, start, end, depth, path, digest) of every secret; digest is the SHA-256 of its value, which isn't shown.
 
     start and end count characters of the text. Null and empty texts have none. A row without an id is scanned and reported
-    without one. Repeated rows report repeated findings. A layer beyond MOST_DECODED characters, or beyond
-    COPIES of the text, gets an oversized_layer finding, and the others are scanned. No shuffle.
+    without one. Repeated rows report repeated findings. A run of more than MOST_DECODED characters, or beyond COPIES of the
+    text, gets an oversized_layer finding, and the others are scanned. No shuffle.
     """
     docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     fields = [("kind", T.StringType()), ("start", T.LongType()), ("end", T.LongType()), ("depth", T.LongType()), ("path", T.StringType()), ("digest", T.StringType())]

@@ -353,6 +353,81 @@ def test_short_base64_runs_are_suspects():
         assert secrets._suspects(pa.array([f"see {run} now", "see nothing", None])) == [0]
 
 
+def test_layers_that_are_had_in_two_ways_count_once():
+    text = "clean words " * 2000 + r"%41 then \u0041 and &#66; end"
+    assert secrets.scan(text, 1000) == [] and secrets.redacted(text) == text
+    whole = secrets._Layer.whole(text)
+    a = whole.rewritten(secrets._PERCENT, secrets._percent, "url").rewritten(secrets._ESCAPE, secrets._escape, "unicode")
+    b = whole.rewritten(secrets._ESCAPE, secrets._escape, "unicode").rewritten(secrets._PERCENT, secrets._percent, "url")
+    assert a.digest == b.digest and a.text.endswith("A then A and B end") and len(a.at) < 10
+    for i, c in enumerate(a.text):
+        x, y = a.span(i, i + 1)
+        assert text[x:y] == c or text[x:y] in ("%41", r"\u0041", "&#66;")
+
+
+def test_hex_and_utf16_layers():
+    inner = f"the key is {KEY} here"
+    for data, path in ((inner.encode(), ""), (inner.encode("utf-16-le"), ">utf16"), (inner.encode("utf-16"), ">utf16"), (inner.encode("utf-16-be"), ">utf16"), (gzip.compress(inner.encode()), ">gzip")):
+        for run, step in ((data.hex(), "hex"), ("0x" + data.hex().upper(), "hex"), (base64.b64encode(data).decode(), "base64")):
+            text = f"see {run} now"
+            assert [(f[4], f[5]) for f in secrets.scan(text)] == [(step + path, KEY)] and KEY.encode().hex() not in secrets.redacted(text)
+            assert secrets._suspects(pa.array([text])) == [0]
+
+
+def _wrapped(rng, text):
+    """text in some random layers, each among other words or whole, and what was done."""
+    for _ in range(rng.randrange(0, 4)):
+        data = text.encode()
+        text = rng.choice([
+            lambda: urllib.parse.quote(text, safe=""),
+            lambda: "".join(f"%{b:02x}" for b in data),
+            lambda: "".join(f"\\u{ord(c):04x}" for c in text),
+            lambda: "".join(f"&#{ord(c)};" for c in text),
+            lambda: base64.b64encode(data).decode(),
+            lambda: base64.urlsafe_b64encode(data).decode().rstrip("="),
+            lambda: base64.b64encode(rng.choice([gzip.compress, bz2.compress, zlib.compress, lzma.compress])(data)).decode(),
+            lambda: data.hex(),
+        ])()
+    return text
+
+
+def test_random_layers_round_trip():
+    """A secret is found and redacted through any layers, its span is that of the run, and the fast filter passes the text."""
+    rng = random.Random(11)
+    for _ in range(300):
+        secret = "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+        run = _wrapped(rng, rng.choice(["{}", "pwd {} end"]).format(secret))
+        before, after = rng.choice(["", "word ", "é 100% of ", "a \\n "]), rng.choice(["", " word", " end.", " \u2713"])
+        text = before + run + after
+        found = [f for f in secrets.scan(text) if f[5] == secret]
+        assert found and all(len(before) <= f[1] < f[2] <= len(before) + len(run) for f in found), text
+        assert secrets._suspects(pa.array([text])) == [0]
+        clean = secrets.redacted(text)
+        assert not [f for f in secrets.scan(clean) if f[5] == secret] and clean.startswith(before) and clean.endswith(after)
+
+
+def test_short_runs_of_any_secret_are_suspects():
+    """The filter is as wide as the decoders, down to the shortest runs."""
+    rng = random.Random(12)
+    for _ in range(300):
+        value = "".join(rng.choice("abcdefghijkmnopqrstuvwxyz0123456789#!") for _ in range(rng.randrange(8, 12)))
+        inner = f"{rng.choice(['pwd', 'token', 'secret'])}{rng.choice(['=', ': '])}{value}"
+        text = f"x {rng.choice([base64.b64encode(inner.encode()).decode(), inner.encode().hex(), urllib.parse.quote(inner, safe=''), inner])} y"
+        if secrets.scan(text):
+            assert secrets._suspects(pa.array([text])) == [0], text
+
+
+def test_runs_after_many_bombs_are_still_scanned():
+    bombs = " ".join(base64.b64encode(bz2.compress(b"a" * (100_000 + i))).decode() for i in range(40))
+    packed = base64.b64encode(gzip.compress(f"the key is {KEY} here".encode())).decode()
+    found = secrets.scan(f"{bombs} {packed}", 50_000)
+    assert [f[0] for f in found].count("oversized_layer") == 40 and [f[5] for f in found if f[0] == "aws_access_key"] == [KEY]
+    chain = KEY.encode()
+    for i in range(80):  # deeper than any fixed number of layers
+        chain = zlib.compress(chain)
+    assert [f[5] for f in secrets.scan(base64.b64encode(chain).decode())] == [KEY]
+
+
 @pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zlib.compress, zstandard.ZstdCompressor().compress])
 @pytest.mark.parametrize("tail", [b"", b"\0\0\0", b"no member"])
 def test_all_members_of_a_compressed_run_are_scanned(pack, tail):
