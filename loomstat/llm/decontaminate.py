@@ -2,8 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other parameters has the same template. Windows of
 templates are joined by hash, and the slots of each alignment are checked: one value of the benchmark must always stand
-for one value in the document and the other way round; windows that break this don't count. Where a window has too few words besides slots, and for items too
-short for a template, the hash of the exact words, slot values included, is joined instead.
+for one value in the document and the other way round; windows that break this don't count. Where a window has too few words
+besides slots, and for items too short for a template, the hash of the exact words, slot values included, is joined instead.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
+from .shared import checkpointed
 
 WINDOW = 8
 #: Words that aren't placeholders, at least, in a window; a shorter item needs half of its words.
 LITERALS = 4
 #: Items with fewer words than this have no template; only their exact words match.
 SHORTEST = 5
-#: A document is contaminated by an item if one alignment shares so many windows with it, or that share of its windows.
+#: A document is contaminated by an item if one alignment shares so many different windows with it, or that share of its windows.
+#: Six windows of eight words are a run of thirteen, as in the usual test for contamination, whatever the item's length.
 LEAST_WINDOWS = 6
 LEAST_SHARE = 0.5
 #: Bits a window of the benchmark in the filter that the documents' windows pass before the join, and the most of them.
@@ -32,7 +34,7 @@ MOST_BITS = 1 << 27
 UNITS = (
     "m km cm mm mi mile miles ft foot feet inch inches yard yards meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters g kg mg gram grams kilogram kilograms lb lbs pound pounds oz ounce ounces ton tons "
     "s sec second seconds minute minutes min hour hours hr hrs day days week weeks month months year years ms l ml liter liters litre litres gallon gallons cup cups percent dollar dollars usd eur euro euros cent cents gbp yen "
-    "degree degrees c f k w kw kwh watt watts joule joules j v volt volts a amp amps hz khz mhz ghz b kb mb gb tb byte bytes bit bits mph kph people apples oranges"
+    "degree degrees c f k w kw kwh watt watts joule joules j v volt volts a amp amps hz khz mhz ghz b kb mb gb tb byte bytes bit bits mph kph"
 ).split()
 NUMBER, NAME, UNIT = 1, 2, 3
 #: Added to the hash of exact words, so that it isn't that of a template.
@@ -83,7 +85,7 @@ def templates(seg: np.ndarray, bounds: np.ndarray) -> tuple[words.Words, np.ndar
 
 
 def windows(seg: np.ndarray, bounds: np.ndarray, sizes: tuple[int, ...], exact: tuple[int, ...], whole: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """For each size: texts, places, hashes, for each window the number of its slots with all slots' values, and 0; then for each of exact, by the exact words, without slots and with that size.
+    """For each size: texts, places, hashes, for each window the number of its slots with all slots' values, and minus the size; then for each of exact, by the exact words, without slots and with that size.
 
     whole: only texts of exactly that size have windows of less than WINDOW words, and only windows that have no template
     are exact; for the benchmark's side. Else all windows of those sizes are, as kinds depend on the words before them.
@@ -103,7 +105,7 @@ def windows(seg: np.ndarray, bounds: np.ndarray, sizes: tuple[int, ...], exact:
         text, place, filled, keep = every(size)
         place, text, filled = place[keep], text[keep], filled[keep]
         # a hash tells the size too
-        yield text, place - w.first[text], (words.grams(template, size)[place] + words.U64(size) if len(template) else template), filled, values[words.ranges(slots[place], filled)], 0
+        yield text, place - w.first[text], (words.grams(template, size)[place] + words.U64(size) if len(template) else template), filled, values[words.ranges(slots[place], filled)], -size
     for size in exact:
         text, place, _, keep = every(size)
         if whole:
@@ -142,7 +144,7 @@ def _consistent(clean: DataFrame, clashing: DataFrame) -> DataFrame:
         return F.array_distinct(F.transform(hits, lambda x: x["item_place"]))
 
     def typed(hits: Column) -> Column:
-        return F.size(places(F.filter(hits, lambda x: x["exact"] == 0))).cast("long")
+        return F.size(places(F.filter(hits, lambda x: x["exact"] < 0))).cast("long")
 
     count = F.size(places(F.col("hits"))).cast("long")
     weight = lambda p: F.struct(p["item_slots"] == p["slots"], F.size(F.filter("all", lambda x: x == p)))
@@ -159,8 +161,8 @@ def _consistent(clean: DataFrame, clashing: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text_column: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, item_windows, share, reparameterised) of each pair of a document and an item that it contains.
 
-    windows: how many of the item's windows the document has in alignments, without those whose slots clash. share: of the item's
-    windows. reparameterised: whether a slot's value differs. Windows without a template, and items of fewer than SHORTEST
+    windows: how many different windows of the item the document has in its best alignment, without those whose slots clash.
+    share: of the item's windows. reparameterised: whether a slot's value differs in the best alignment. Windows without a template, and items of fewer than SHORTEST
     words, match by their exact words only; LEAST_WINDOWS or LEAST_SHARE hold for the windows with a template alone too,
     so windows without one never hide a reparameterised copy. Rows without an id and texts without words match nothing.
     Repeated rows of an id count once. An empty table gives an empty result. The benchmark's size isn't bounded: the
@@ -169,12 +171,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     spark = docs.sparkSession
     ids = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null and text is not null")
     items = benchmark.select(F.col(item_column).alias("item_id"), F.col(item_text_column).alias("text")).where("item_id is not null and text is not null")
-    sizes = (*range(SHORTEST, WINDOW), WINDOW)
     shape = [T.StructField("place", T.LongType()), T.StructField("window", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("exact", T.IntegerType())]
-    asked = items.mapInArrow(_window_batches("item_id", sizes, tuple(range(1, WINDOW + 1)), True), T.StructType([items.schema["item_id"], *shape])).dropDuplicates(["item_id", "place", "window"]).cache()
-    totals = asked.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(F.col("exact") == 0, F.col("place"))).alias("item_typed"))
-    exact = tuple(sorted(r[0] for r in asked.where("exact > 0").select("exact").distinct().collect()))  # at most WINDOW
-    bits = min(MOST_BITS, max(1 << 16, 1 << (FILTER_BITS * asked.count()).bit_length()))
+    asked = items.mapInArrow(_window_batches("item_id", tuple(range(SHORTEST, WINDOW + 1)), tuple(range(1, WINDOW + 1)), True), T.StructType([items.schema["item_id"], *shape]))
+    asked = checkpointed(asked.dropDuplicates(["item_id", "place", "window"]))
+    totals = asked.groupBy("item_id").agg(F.countDistinct("place").alias("item_windows"), F.countDistinct(F.when(F.col("exact") < 0, F.col("place"))).alias("item_typed"))
+    found = sorted((r[0], r[1]) for r in asked.groupBy("exact").count().collect())  # the sizes that items have, at most WINDOW of each kind
+    sizes, exact = tuple(-k for k, _ in found if k < 0), tuple(k for k, _ in found if k > 0)
+    bits = min(MOST_BITS, max(1 << 16, 1 << (FILTER_BITS * sum(n for _, n in found)).bit_length()))
     bit = F.pmod(F.expr(f"case when window >= 0 then window % {bits}L else (window % {bits}L) + {(1 << 64) % bits}L end"), F.lit(bits)) + 1
     parts = asked.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("marks")).collect()
     marks = bytearray(bits // 8)
@@ -190,7 +193,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     clean = (F.size(F.array_distinct("pairs.item_slots")) == size) & (F.size(F.array_distinct("pairs.slots")) == size)
     aligned = _consistent(aligned.where(clean), aligned.where(~clean))
     changed = F.exists("pairs", lambda p: p["item_slots"] != p["slots"])
-    totalled = aligned.groupBy("doc_id", "item_id").agg(F.sum("n").alias("n"), F.sum("typed").alias("typed"), F.max(changed).alias("reparameterised")).join(totals, "item_id")
-    n, typed = F.least("n", "item_windows"), F.least("typed", "item_typed")
+    best = aligned.groupBy("doc_id", "item_id").agg(F.max(F.struct("n", "typed", (~changed).alias("same"))).alias("best"))
+    totalled = best.join(totals, "item_id").select("doc_id", "item_id", "best.*", "item_windows", "item_typed", (~F.col("best.same")).alias("reparameterised"))
+    n, typed = F.col("n"), F.col("typed")
     enough = (n >= LEAST_WINDOWS) | (F.round(n / F.col("item_windows"), 6) >= LEAST_SHARE) | ((F.col("item_typed") > 0) & (F.round(F.try_divide(typed, "item_typed"), 6) >= LEAST_SHARE))
     return totalled.where(enough).select("doc_id", "item_id", n.alias("windows"), "item_windows", F.round(n / F.col("item_windows"), 6).alias("share"), "reparameterised")

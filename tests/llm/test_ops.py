@@ -595,5 +595,27 @@ def test_exact_copies_of_items_without_templates_are_found(spark):
     assert got == {(0, 1): False, (1, 1): False, (3, 2): False, (5, 3): False, (9, 5): False}
 
 
+def test_a_window_that_repeats_counts_once(spark):
+    rng = random.Random(21)
+    item = sentence(rng, 68, 5000)
+    window = " ".join(item.split()[10:18])
+    noise = [sentence(rng, 9, 90_000) for _ in range(7)]
+    repeated = " ".join(f"{n} {window}" for n in noise)
+    scattered = " ".join(f"{n} {' '.join(item.split()[8 * i : 8 * i + 8])}" for i, n in enumerate(noise))
+    run = f"{noise[0]} {' '.join(item.split()[20:33])} {noise[1]}"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r.doc_id: (r.windows, r.item_windows) for r in decontaminate.contaminated(documents(spark, [repeated, scattered, run, item]), items).collect()}
+    assert got == {2: (6, 61), 3: (61, 61)}
+
+
+def test_decontamination_takes_odd_rows(spark):
+    rng = random.Random(22)
+    items = spark.createDataFrame([(1, ITEM), (1, ITEM), (2, ITEM), (None, ITEM), (3, " ")], "item_id long, text string").withColumns({c: F.lit(7) for c in CLASHES})
+    texts = ODD + [ITEM, sentence(rng, 100_000) + " " + ITEM + " " + sentence(rng, 100_000)]
+    df = documents(spark, texts)
+    df = df.unionByName(df).unionByName(documents(spark, [ITEM], [None]))
+    assert rows(decontaminate.contaminated(df, items), "doc_id", "item_id") == sorted(((d, i) for d in (len(ODD), len(ODD) + 1) for i in (1, 2)), key=repr)
+
+
 def test_every_operator_is_registered():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11)) and set(queries.ORACLES) <= set(queries.QUERIES)
