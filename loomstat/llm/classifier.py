@@ -1,7 +1,8 @@
 """Quality and toxicity classifier: factorisation machines over hashed words, structure statistics and metadata.
 
 score(x) = w0 + sum_i w_i x_i + 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2): all pairwise interactions of low rank, in time
-linear in the features. One machine per label, trained here on a bounded sample of labelled documents.
+linear in the features. One machine per label, trained here on a bounded sample of labelled documents. All words that occur in
+LEAST_DOCS documents of the sample are fitted together: the regularisation decides in the fit which weights differ from zero.
 """
 
 from __future__ import annotations
@@ -21,14 +22,17 @@ from . import words
 TRAIN_ROWS = 6000
 BUCKETS = 1 << 21
 RANK = 8
-#: A word's bucket has a weight if so many documents of the sample have it.
-LEAST_DOCS = 8
-#: And if the share of those with a label is so many standard deviations from the whole sample's.
-LEAST_Z = 8.0
-EPOCHS = 30
+#: A bucket has weights if so many documents of the sample have it; a weight that one or two documents tell can't be checked.
+LEAST_DOCS = 3
+EPOCHS = 6
 BATCH = 128
-RATE = 0.15
-DECAY = 3e-4
+#: Rates of the linear weights and the factors, and how much their gradients must add up to before they leave zero.
+RATE, FACTOR_RATE = 2.0, 0.03
+LASSO, FACTOR_LASSO = 20.0, 3.0
+DECAY = 1.0
+START = 0.05
+#: A document's values, as the interactions see them, have at most this length.
+REACH = 4.0
 #: Lengths of the word beginnings that are features of their own.
 PREFIXES = (5, 7)
 STATS = 12
@@ -78,7 +82,7 @@ def _stats(seg: np.ndarray, bounds: np.ndarray, w: words.Words, h: np.ndarray) -
 def features(seg: np.ndarray, bounds: np.ndarray, metadata: list[list[str | None]], slot: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets, their texts and values, by text: words and their first PREFIXES bytes by log2(1 + their number), bins of statistics and metadata by 1/2.
 
-    With slot, only the buckets that have a weight.
+    By text and then by bucket. With slot, only the buckets that have a weight.
     """
     w = words.plain(seg, bounds)
     h = words.hashes(w.seg, w.start, w.end)
@@ -124,24 +128,43 @@ class Model:
     factors: np.ndarray
 
 
-def _telling(bucket: np.ndarray, text: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Buckets of structure and metadata, and those of words whose share of a label differs from the sample's by LEAST_Z deviations."""
-    many = np.bincount(bucket, minlength=BUCKETS)
-    keep = (many >= LEAST_DOCS) & (np.arange(BUCKETS) < RESERVED)
-    for k in range(labels.shape[1]):
-        p = labels[:, k].mean()
-        with_label = np.bincount(bucket, labels[text, k], BUCKETS)
-        keep |= (many >= LEAST_DOCS) & (np.abs(with_label - many * p) > LEAST_Z * np.sqrt(many * p * (1 - p) + 1e-9))
-    return np.flatnonzero(keep)
+def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of consecutive rows, first[d]:first[d + 1] for each d."""
+    out = np.zeros((len(first) - 1, *values.shape[1:]), values.dtype)
+    full = first[1:] > first[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, first[:-1][full])
+    return out
 
 
-def machine(bias: float, linear: np.ndarray, factors: np.ndarray, slot: np.ndarray, text: np.ndarray, x: np.ndarray, n_text: int) -> tuple[np.ndarray, np.ndarray]:
-    """Scores by the sum-of-squares identity, and sum_i v_if x_i; features sorted or not."""
-    out = bias + np.bincount(text, linear[slot] * x, n_text)
-    v = factors[slot] * x[:, None]
-    sums = np.stack([np.bincount(text, v[:, f], n_text) for f in range(v.shape[1])], axis=1)
-    squares = np.bincount(text, (v * v).sum(axis=1), n_text)
-    return out + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
+def reached(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Values as the interactions see them: each document's scaled to the length REACH, shorter ones than 1 less."""
+    return x * np.repeat(REACH / np.sqrt(np.maximum(_sums(x * x, first), 1)), np.diff(first)).astype(x.dtype)
+
+
+def machine(bias: float, linear: np.ndarray, factors: np.ndarray, slot: np.ndarray, text: np.ndarray, x: np.ndarray, n_text: int, y: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Scores by the sum-of-squares identity, and sum_i v_if y_i; features sorted by text, y being x in the interactions unless given."""
+    first = np.searchsorted(text, np.arange(n_text + 1))
+    v = factors[slot] * (x if y is None else y)[:, None]
+    sums = _sums(v, first)
+    squares = _sums((v * v).sum(axis=1), first)
+    return bias + _sums(linear[slot] * x, first) + 0.5 * ((sums * sums).sum(axis=1) - squares), sums
+
+
+class _Weights:
+    """Weights that follow the regularised leader: zero until the sum of their gradients exceeds `lasso`, with a rate of their own."""
+
+    def __init__(self, start: np.ndarray, rate: float, lasso: float):
+        self.now, self.rate, self.lasso = start.astype(np.float32), rate, lasso
+        self.led = -(self.now * (1 / rate + DECAY) + np.sign(self.now) * lasso)
+        self.square = np.zeros_like(self.now)
+
+    def step(self, at: np.ndarray, gradient: np.ndarray) -> None:
+        before = self.square[at]
+        after = before + gradient * gradient
+        led = self.led[at] + gradient - (np.sqrt(after) - np.sqrt(before)) / self.rate * self.now[at]
+        self.square[at], self.led[at] = after, led
+        self.now[at] = -np.sign(led) * np.maximum(np.abs(led) - self.lasso, 0) / ((1 + np.sqrt(after)) / self.rate + DECAY)
 
 
 def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Model:
@@ -149,52 +172,52 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mod
     n, n_label = labels.shape
     rng = np.random.default_rng(7)
     slot = np.full(BUCKETS, -1, np.int32)
-    bias = np.zeros(n_label)
     if not n:
-        return Model(slot, bias, np.zeros((n_label, 0)), np.zeros((n_label, 0, RANK)))
+        return Model(slot, np.zeros(n_label), np.zeros((n_label, 0), np.float32), np.zeros((n_label, 0, RANK), np.float32))
     bucket, x = (np.concatenate([s[k] for s in samples]) for k in (0, 1))
     text = np.repeat(np.arange(n), [len(s[0]) for s in samples])
-    kept = _telling(bucket, text, labels)
+    kept = np.flatnonzero(np.bincount(bucket, minlength=BUCKETS) >= LEAST_DOCS)
     slot[kept] = np.arange(len(kept), dtype=np.int32)
     use = slot[bucket] >= 0
-    bucket, text, x = slot[bucket[use]], text[use], x[use]
+    bucket, text, x = slot[bucket[use]], text[use], x[use].astype(np.float32)
     first = np.searchsorted(text, np.arange(n + 1))
-    linear = np.zeros((n_label, len(kept)))
-    factors = rng.normal(0, 0.01, (n_label, len(kept), RANK))
-    for k in range(n_label):
-        y = labels[:, k].astype(float)
-        p = (y.sum() + 1) / (n + 2)
-        bias[k] = np.log(p / (1 - p))
-        seen_w, seen_v, seen_b = np.full(len(kept), 1e-6), np.full((len(kept), RANK), 1e-2), 1e-6
-        for _ in range(EPOCHS):
-            order = rng.permutation(n)
-            for at in range(0, n, BATCH):
-                docs = order[at : at + BATCH]
-                count = first[docs + 1] - first[docs]
-                take = words.ranges(first[docs], count)
-                i, xi, of = bucket[take], x[take], np.repeat(np.arange(len(docs)), count)
-                score, sums = machine(bias[k], linear[k], factors[k], i, of, xi, len(docs))
-                err = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[docs]) / len(docs)
-                seen_b += err.sum() ** 2
-                bias[k] -= RATE * err.sum() / np.sqrt(seen_b)
-                g = np.bincount(i, err[of] * xi, len(kept)) + DECAY * linear[k]
-                seen_w += g * g
-                linear[k] -= RATE * g / np.sqrt(seen_w)
-                gv = (err[of] * xi)[:, None] * (sums[of] - factors[k][i] * xi[:, None])
-                touched = np.unique(i)
-                for f in range(RANK):
-                    gf = np.bincount(i, gv[:, f], len(kept))[touched] + DECAY * factors[k][touched, f]
-                    seen_v[touched, f] += gf * gf
-                    factors[k][touched, f] -= 0.3 * RATE * gf / np.sqrt(seen_v[touched, f])
-    return Model(slot, bias, linear, factors)
+    y = reached(x, first)
+    order, batches = rng.permutation(n), []
+    for at in range(0, n, BATCH):
+        docs = order[at : at + BATCH]
+        count = first[docs + 1] - first[docs]
+        take = words.ranges(first[docs], count)
+        by = np.argsort(bucket[take], kind="stable")
+        touched, edges = np.unique(bucket[take][by], return_index=True)
+        batches.append((labels[docs].astype(np.float32), np.concatenate([[0], np.cumsum(count)]), bucket[take], x[take, None], y[take, None], by, touched, np.append(edges, len(take))))
+    linear = _Weights(np.zeros((len(kept), n_label)), RATE, LASSO)
+    factors = _Weights(rng.normal(0, START, (len(kept), n_label * RANK)), FACTOR_RATE, FACTOR_LASSO)
+    share = (labels.sum(axis=0) + 1) / (n + 2)
+    bias, seen = np.log(share / (1 - share)), np.ones(n_label)
+    for _ in range(EPOCHS):
+        for k in rng.permutation(len(batches)):
+            truth, edges, i, xi, yi, by, touched, ends = batches[k]
+            of = np.repeat(np.arange(len(truth)), np.diff(edges))
+            v = factors.now[i] * yi
+            sums = _sums(v, edges)
+            pairs = (sums * sums - _sums(v * v, edges)).reshape(-1, n_label, RANK).sum(axis=2)
+            score = bias + _sums(linear.now[i] * xi, edges) + 0.5 * pairs
+            error = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - truth).astype(np.float32)
+            seen += error.sum(axis=0) ** 2
+            bias = bias - RATE * error.sum(axis=0) / np.sqrt(seen)
+            linear.step(touched, _sums((error[of] * xi)[by], ends))
+            factors.step(touched, _sums((np.repeat(error[of] * yi, RANK, axis=1) * (sums[of] - v))[by], ends))
+    split = factors.now.reshape(len(kept), n_label, RANK).transpose(1, 0, 2)
+    return Model(slot, bias, np.ascontiguousarray(linear.now.T), np.ascontiguousarray(split))
 
 
 def score(model: Model, seg: np.ndarray, bounds: np.ndarray, metadata: list[list[str | None]]) -> np.ndarray:
     """[label, text] probabilities."""
     n = len(bounds) - 1
     bucket, text, x = features(seg, bounds, metadata, model.slot)
-    slot = model.slot[bucket]
-    scores = np.stack([machine(model.bias[k], model.linear[k], model.factors[k], slot, text, x, n)[0] for k in range(len(model.bias))])
+    slot, x = model.slot[bucket], x.astype(np.float32)
+    y = reached(x, np.searchsorted(text, np.arange(n + 1)))
+    scores = np.stack([machine(model.bias[k], model.linear[k], model.factors[k], slot, text, x, n, y)[0] for k in range(len(model.bias))])
     return 1 / (1 + np.exp(-np.clip(scores, -30, 30)))
 
 

@@ -514,6 +514,85 @@ def test_accuracy_on_documents_that_were_held_out(spark):
     assert judged.kept[good].mean() > 0.95 and judged.kept[judged.toxic == 1].mean() < 0.2
 
 
+def brute_fit(samples, labels):
+    """The training one weight at a time, in doubles."""
+    rng, n, n_label = np.random.default_rng(7), *labels.shape
+    seen_in = Counter(b for s in samples for b in s[0].tolist())
+    kept = sorted(b for b, c in seen_in.items() if c >= classifier.LEAST_DOCS)
+    place = {b: k for k, b in enumerate(kept)}
+    docs = [[(place[b], v) for b, v in zip(s[0].tolist(), s[1].tolist()) if b in place] for s in samples]
+    order = rng.permutation(n)
+    batches = [order[a : a + classifier.BATCH] for a in range(0, n, classifier.BATCH)]
+    start = rng.normal(0, classifier.START, (len(kept), n_label * classifier.RANK)).reshape(len(kept), n_label, classifier.RANK)
+    state = {}
+
+    def weight(key, rate, lasso, first=0.0):
+        if key not in state:
+            state[key] = [first, -(first * (1 / rate + classifier.DECAY) + np.sign(first) * lasso), 0.0]
+        return state[key]
+
+    w = lambda i, k: weight(("w", i, k), classifier.RATE, classifier.LASSO)
+    v = lambda i, k, f: weight(("v", i, k, f), classifier.FACTOR_RATE, classifier.FACTOR_LASSO, start[i, k, f])
+    share = (labels.sum(axis=0) + 1) / (n + 2)
+    bias, seen = np.log(share / (1 - share)), np.ones(n_label)
+    for _ in range(classifier.EPOCHS):
+        for b in rng.permutation(len(batches)):
+            gradient, totals = defaultdict(float), np.zeros(n_label)
+            for d in batches[b]:
+                length = np.sqrt(max(1, sum(x * x for _, x in docs[d])))
+                ys = {i: classifier.REACH * x / length for i, x in docs[d]}
+                for k in range(n_label):
+                    score = bias[k] + sum(w(i, k)[0] * x for i, x in docs[d])
+                    inner = [sum(v(i, k, f)[0] * y for i, y in ys.items()) for f in range(classifier.RANK)]
+                    score += sum(v(i, k, f)[0] * v(j, k, f)[0] * ys[i] * ys[j] for i in ys for j in ys if i < j for f in range(classifier.RANK))
+                    error = 1 / (1 + np.exp(-score)) - labels[d, k]
+                    totals[k] += error
+                    for i, x in docs[d]:
+                        gradient["w", i, k] += error * x
+                        for f in range(classifier.RANK):
+                            gradient["v", i, k, f] += error * ys[i] * (inner[f] - v(i, k, f)[0] * ys[i])
+            seen += totals**2
+            bias -= classifier.RATE * totals / np.sqrt(seen)
+            for key, g in gradient.items():
+                rate, lasso = (classifier.RATE, classifier.LASSO) if key[0] == "w" else (classifier.FACTOR_RATE, classifier.FACTOR_LASSO)
+                now, led, square = state[key]
+                led += g - (np.sqrt(square + g * g) - np.sqrt(square)) / rate * now
+                square += g * g
+                state[key] = [-np.sign(led) * max(abs(led) - lasso, 0) / ((1 + np.sqrt(square)) / rate + classifier.DECAY), led, square]
+    return kept, bias, np.array([[w(i, k)[0] for i in range(len(kept))] for k in range(n_label)]), np.array([[[v(i, k, f)[0] for f in range(classifier.RANK)] for i in range(len(kept))] for k in range(n_label)])
+
+
+def test_training_equals_one_weight_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(classifier, "BATCH", 16)
+    monkeypatch.setattr(classifier, "RANK", 2)
+    monkeypatch.setattr(classifier, "LASSO", 0.5)
+    samples = [(np.sort(rng.choice(30, rng.integers(0, 8), replace=False)).astype(np.int32), None) for _ in range(60)]
+    samples = [(b, rng.random(len(b)) + 0.2) for b, _ in samples]
+    labels = np.array([[float(3 in b), float(4 in b and 5 in b)] for b, _ in samples])
+    kept, bias, linear, factors = brute_fit(samples, labels)
+    model = classifier.fit(samples, labels)
+    assert np.flatnonzero(model.slot >= 0).tolist() == kept
+    assert np.allclose(model.bias, bias, atol=1e-3) and np.allclose(model.linear, linear, atol=1e-3) and np.allclose(model.factors, factors, atol=1e-3)
+    assert np.abs(linear).max() > 0.1
+
+
+def test_all_words_have_weights_and_pairs_tell(spark):
+    """Words of LEAST_DOCS documents are in the machine, and a label that only pairs of words tell is learnt."""
+    rng = random.Random(4)
+    texts, labels = [], []
+    for i in range(3000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(f"{sentence(rng, 5, 60)} {'left' if a else 'right'} {'upper' if b else 'lower'}")
+        labels.append((i, int(a == b), 0))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = documents(spark, texts)
+    model = classifier.train(df, table, ("quality", "toxic"))
+    assert (model.slot >= 0).sum() > 64
+    kept = {r.doc_id for r in classifier.classify(df, table).collect()}
+    assert np.mean([(i in kept) == q for i, q, _ in labels]) > 0.9
+
+
 def test_classifier_takes_odd_rows(spark):
     df = documents(spark, ODD + [None, "good text here"])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int, text string, lang string")
