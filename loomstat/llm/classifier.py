@@ -227,6 +227,7 @@ def _metadata(part: pa.RecordBatch, columns: list[str]) -> list[list[str | None]
 
 def train(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], id_column: str = "doc_id", text_column: str = "text", metadata: tuple[str, ...] = ("lang", "source"), most: int = TRAIN_ROWS) -> Model:
     """A machine for each label column. At most `most` labelled rows, by the hash of their id, come to the driver as feature lists."""
+    metadata = tuple(c for c in metadata if c in docs.columns)
     sample = labels.select(F.col(id_column).alias("_id"), *[F.col(c).cast("double").alias(f"_y{k}") for k, c in enumerate(names)]).dropna()
     sample = F.broadcast(sample.orderBy(F.xxhash64("_id"), "_id").limit(most))  # bounded by a parameter
     source = docs.select(F.col(id_column).alias("_id"), F.col(text_column).alias("_text"), *[F.col(c).cast("string").alias(f"_m{k}") for k, c in enumerate(metadata)])
@@ -251,10 +252,11 @@ def classify(docs: DataFrame, labels: DataFrame, least_quality: float = 0.5, mos
     """The documents that are kept: of a quality of at least least_quality and toxic with at most most_toxic.
 
     With scores, (doc_id, p_quality, p_toxic) of the kept documents; without, all columns of docs. A null or empty text has
-    no words and is scored by its statistics and metadata; null metadata is a value of its own; rows without an id are scored
+    no words and is scored by its statistics and metadata; null metadata is a value of its own, and metadata columns that docs lacks are left out; rows without an id are scored
     like others. Repeated rows are scored each by itself, alike. Labels that are null don't count; without any labels both
     probabilities are 0.5 and all documents are kept. Documents that are both in the sample and scored get no special treatment.
     """
+    metadata = tuple(c for c in metadata if c in docs.columns)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, ("quality", "toxic"), id_column, text_column, metadata, most))
     if scores:
         docs = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"), *[F.col(c).cast("string").alias(f"m{k}") for k, c in enumerate(metadata)])

@@ -63,6 +63,39 @@ def test_top_k_is_exact_with_ties_and_odd_rows(spark):
     assert rows(topk.search(df, 7)) == sorted(brute_top_k(vectors, 7), key=repr)
 
 
+def test_near_ties_are_in_their_true_order(spark):
+    """Scores that differ by less than what is reported, in an order that ids would turn round."""
+    base = np.zeros(4)
+    base[0] = 1.0
+    near = {100 - i: [1.0, 1e-4 * (1 + i * 1e-3), 0.0, 0.0] for i in range(40)}
+    df = spark.createDataFrame([(1000, base.tolist()), *near.items()], "vec_id long, embedding array<double>")
+    got = [r.neighbor_id for r in topk.search(df, 12).where("vec_id = 1000").orderBy("rank").collect()]
+    assert got == [100 - i for i in range(12)]
+
+
+def test_top_k_over_many_blocks_and_rounds(spark, monkeypatch):
+    """Blocks of 64 rows in a grid of several cells, dense scores that need several rounds, and a vector that a third of the rows share."""
+    monkeypatch.setattr(topk, "BLOCK_BYTES", 64 * 8 * 6)
+    rng = np.random.default_rng(3)
+    vectors = {i: (np.array([5.0, 1, 1, 1, 1, 1]) + rng.normal(0, 0.01, 6)).tolist() for i in range(400)}
+    vectors |= {1000 + i: [1.0, 2.0, 0.0, 1.0, 1.0, 3.0] for i in range(200)}
+    calls = []
+    counted = topk._counted
+    monkeypatch.setattr(topk, "_counted", lambda *a: (calls.append(a), counted(*a))[1])
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(4)
+    assert topk.blocks(df, "vec_id", "embedding").count() >= 8
+    got = rows(topk.search(df, 5))
+    names = np.array(sorted(vectors))
+    unit = np.array([vectors[i] for i in names])
+    unit /= np.sqrt((unit * unit).sum(axis=1))[:, None]
+    expected = []
+    for i, name in enumerate(names):
+        score = (unit[i] * unit).sum(axis=1)
+        order = [j for j in np.lexsort((names, -np.floor(score * topk.FINE + 0.5))) if j != i][:5]
+        expected += [(int(name), r + 1, int(names[j]), float(np.floor(score[j] * topk.UNITS + 0.5) / topk.UNITS)) for r, j in enumerate(order)]
+    assert got == sorted(expected, key=repr) and len(calls) > 3
+
+
 def test_top_k_of_nothing_and_of_few(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(empty).count() == 0
