@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .shared import checkpointed
+from .shared import checkpointed, unused
 
 WINDOW = 8
 #: Words that aren't placeholders, at least, in a window; a shorter item needs half of its words.
@@ -198,3 +198,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     n, typed = F.col("n"), F.col("typed")
     enough = (n >= LEAST_WINDOWS) | (F.round(n / F.col("item_windows"), 6) >= LEAST_SHARE) | ((F.col("item_typed") > 0) & (F.round(F.try_divide(typed, "item_typed"), 6) >= LEAST_SHARE))
     return totalled.where(enough).select("doc_id", "item_id", n.alias("windows"), "item_windows", F.round(n / F.col("item_windows"), 6).alias("share"), "reparameterised")
+
+
+def cleaned(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs without the rows of documents that contain an item of the benchmark. All columns stay.
+
+    Rows of one id are one document. A row without an id is a document of its own, named by a hash of its text; ids are below 2 ** 62.
+    """
+    unnamed = F.shiftleft(F.lit(1).cast("long"), 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64(text_column), 2))
+    key = unused(docs, "_key")
+    keyed = docs.withColumn(key, F.coalesce(F.col(id_column).cast("long"), unnamed))
+    leaks = contaminated(keyed, benchmark, key, text_column).select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(leaks, key, "left_anti").select(docs.columns)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df hasn't, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The session's folder for checkpoints, spark.checkpoint.dir, which executors share.
 
@@ -33,29 +42,49 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df with its lineage cut: a table written to the checkpoint folder, read again. Tables stay until `release` or the folder's owner removes them."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def release(df: DataFrame | None) -> None:
+    """Remove the table of a checkpointed DataFrame that nothing reads any more, as in rounds that have the next state."""
+    if df is not None and getattr(df, "_table", None):
+        remove(df.sparkSession, df._table)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b) of longs; component is the smallest node of the node's part.
 
-    Alternating large-star and small-star rounds: every round is two shuffles of a number of rows that never exceeds the
-    edges', and their number grows with the logarithm of the graph's size. Nulls, loops and repeated edges are ignored.
+    Alternating large-star and small-star rounds over a number of rows that never exceeds the edges', and the number of rounds
+    grows with the logarithm of the graph's size. A node's least neighbour is an aggregate, combined before its shuffle, so no
+    task holds the neighbourhood of a hub. Nulls, loops and repeated edges are ignored.
     """
+
+    def lows(pairs: DataFrame) -> DataFrame:
+        return pairs.join(pairs.groupBy("a").agg(F.min("b").alias("low")), "a")
+
     found = edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     found = checkpointed(found)
     state = None
     while True:
         both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        near = Window.partitionBy("a")
-        large = both.select("a", "b", F.least("a", F.min("b").over(near)).alias("low")).where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = F.min("b").over(near)
-        small = large.select("a", "b", low.alias("low"))
+        large = lows(both).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).where("a <> b").distinct()
+        large = checkpointed(large)
+        small = lows(large)
         small = small.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(small.select("a", F.col("low").alias("b")))
-        found = checkpointed(small.where("a <> b").distinct())
+        before, found = found, checkpointed(small.where("a <> b").distinct())
+        release(before)
+        release(large)
         now = found.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == state:
             break

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
-from .shared import checkpointed, components
+from .shared import checkpointed, components, unused
 
 BITS = 128
 #: Bits in which near copies may differ. Copies with up to 10 % of their words changed differ in 35 or fewer; other texts in 45 or more.
@@ -25,6 +25,8 @@ KEYS = 6
 #: Planes that are added before the next look at which lanes are still within the radius.
 STEP = 32
 ROWS = 200_000
+#: Rows of one candidate key that are compared in one block. A key with more is split, and all pairs of its parts are blocks.
+BLOCK_ROWS = 1 << 15
 
 
 def _triples(items: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,19 +255,60 @@ def _close_batches(radius: int):
     return apply
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS) -> DataFrame:
+def _cells(rows: DataFrame, block_rows: int) -> DataFrame:
+    """(cell, id, p0, p1) out of (key, id, p0, p1): a key's rows are one cell, or, if they are more than block_rows, each pair of their parts is."""
+    hot = checkpointed(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("key", F.ceil(F.col("n") / block_rows).cast("int").alias("parts")))
+    rows = rows.join(hot, "key", "left")  # of at most rows / block_rows keys; its size is known, so Spark decides how
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda other: other != part), lambda other: F.xxhash64("key", F.least(other, part), F.greatest(other, part)))
+    return rows.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("cell"), "id", "p0", "p1")
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", radius: int = RADIUS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(doc_id, group_id): every document that has a near copy, with the smallest id of its group.
 
     Words are runs of letters and digits without regard to case. Texts that are null or have no words, and rows without an id,
     are in no group. Texts of one word or more are compared whole. Repeated rows of one id count once. Groups are transitive.
     An empty table gives an empty result. Candidates are found by KEYS minimum hashes, so a pair whose word triples have the
-    Jaccard similarity j is missed, unless other members link it, with the probability (1 - j) ** KEYS.
+    Jaccard similarity j is missed, unless other members link it, with the probability (1 - j) ** KEYS. All candidates of a
+    key are compared: those of a key with more than block_rows different fingerprints in blocks of a grid.
     """
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null and text is not null")
     prints = checkpointed(source.mapInArrow(_fingerprint_batches, "doc_id long, p0 long, p1 long, keys array<long>"))
     # equal fingerprints are one row in what follows, however many documents have them
-    distinct = prints.groupBy("p0", "p1").agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
-    equal = prints.join(distinct.select("p0", "p1", "rep"), ["p0", "p1"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    blocks = distinct.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "p0", "p1").repartition("key").sortWithinPartitions("key", "id")
-    close = blocks.mapInArrow(_close_batches(radius), "a long, b long")
-    return components(equal.unionByName(close)).select(F.col("node").alias("doc_id"), F.col("component").alias("group_id"))
+    distinct = checkpointed(prints.groupBy("p0", "p1").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.min_by("keys", "doc_id").alias("keys")))
+    cells = _cells(distinct.select(F.explode("keys").alias("key"), F.col("rep").alias("id"), "p0", "p1"), block_rows)
+    close = cells.repartition("cell").sortWithinPartitions("cell", "id").mapInArrow(_close_batches(radius), "a long, b long")
+    parts = components(close)
+    # what is in a group: fingerprints of several documents, and those that have a close one; documents are joined back only now
+    grouped = distinct.join(parts, F.col("rep") == F.col("node"), "left").where("node is not null or rep <> last")
+    grouped = grouped.select("p0", "p1", F.coalesce("component", "rep").alias("group_id"))
+    # an id with several texts may be in several groups; it goes with the least
+    return prints.join(grouped, ["p0", "p1"]).groupBy("doc_id").agg(F.min("group_id").alias("group_id"))
+
+
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """docs with one document of each group of near copies: the one of the smallest id. All columns stay.
+
+    Rows without an id, or of an id that repeats, are told apart by their texts: of those with equal texts one stays, that
+    of the smallest id, and it takes part in the groups like others, behind all rows with an id of their own. Ids are below
+    2 ** 62. Texts that are null or have no words are in no group and all stay.
+    """
+    key, other = unused(docs, "_key"), unused(docs, "_shared")
+    ids = docs.groupBy(F.col(id_column).cast("long").alias(other)).agg(F.count("*").alias("_n"))
+    shared_ids = checkpointed(ids.where(f"_n > 1 or {other} is null").select(other))
+    keyed = docs.withColumn(key, F.col(id_column).cast("long"))
+    rest = None
+    if not shared_ids.isEmpty():
+        same = F.col(key).eqNullSafe(F.col(other))
+        no_words = F.col(text_column).isNull() | ~F.col(text_column).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
+        odd = keyed.join(shared_ids, same, "left_semi")
+        rest = odd.where(no_words).drop(key)
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        order = F.struct(F.col(key).isNull(), key, F.xxhash64(F.to_json(F.struct(*columns))))
+        one = odd.where(~no_words).groupBy(F.md5(text_column).alias("_text")).agg(F.min_by(F.struct(*columns), order).alias("_row"))
+        name = F.shiftleft(F.lit(1).cast("long"), 62).bitwiseOR(F.shiftrightunsigned(F.xxhash64("_text"), 2))
+        keyed = keyed.join(shared_ids, same, "left_anti").unionByName(one.select("_row.*", name.alias(key)))
+    copies = near_duplicates(keyed, key, text_column).where("doc_id <> group_id").select(F.col("doc_id").alias(key))
+    kept = keyed.join(copies, key, "left_anti").select(docs.columns)
+    return kept if rest is None else kept.unionByName(rest)

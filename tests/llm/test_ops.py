@@ -188,6 +188,47 @@ def test_components_of_chains_and_loops(spark):
     assert got == dict.fromkeys(range(41), 0) | {100: 100, 101: 100}
 
 
+def test_a_hub_and_its_chains_are_one_component(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 10_000) for i in range(1, 500)]
+    got = dict(rows(shared.components(spark.createDataFrame(edges, "a long, b long"))))
+    assert set(got.values()) == {0} and len(got) == 3000 + 499
+
+
+def test_a_key_in_half_of_the_rows_is_split(spark):
+    """Keys with more rows than a block, and copies of one text in half of the rows, give the same groups as one block."""
+    rng = random.Random(8)
+    lead = sentence(rng, 40, 5000)
+    texts = [f"{lead} {sentence(rng, 12, 5000)}" for _ in range(150)] + [f"{lead} the very same end of it"] * 150
+    df = documents(spark, texts)
+    whole = rows(simhash.near_duplicates(df))
+    assert whole == rows(simhash.near_duplicates(df, block_rows=20)) and len(whole) >= 150
+    keys = spark.createDataFrame([(k, i, i, i) for i in range(90) for k in (1, 2 + i % 2)], "key long, id long, p0 long, p1 long")
+    met = defaultdict(set)
+    for c, i, _, _ in rows(simhash._cells(keys, 20)):
+        met[c].add(i)
+    assert max(map(len, met.values())) < 60
+    assert all(any({i, j} <= m for m in met.values()) for i in range(90) for j in range(i))
+
+
+def test_groups_with_ties_take_the_least_id(spark):
+    text = sentence(random.Random(3), 80)
+    assert rows(simhash.near_duplicates(documents(spark, [text] * 5, [9, 4, 7, 4, 30]))) == [(i, 4) for i in (30, 4, 7, 9)]
+
+
+def test_repeated_rows_and_rows_without_ids_are_deduplicated(spark):
+    rng = random.Random(6)
+    a, b, c = (sentence(rng, 60) for _ in range(3))
+    texts = [a, a, a, a, b, c, c, None, None, "", "", a, b]
+    ids = [1, 1, None, None, 5, 5, None, None, 1, None, None, 40, None]
+    df = documents(spark, texts, ids)
+    kept = simhash.deduplicated(df)
+    assert kept.dtypes == df.dtypes
+    assert Counter(r.text for r in kept.collect()) == {a: 1, b: 1, c: 1, None: 2, "": 2}
+    assert {r.doc_id for r in kept.where(F.col("text") == a).collect()} == {40}
+    assert simhash.deduplicated(df.limit(0)).count() == 0
+    assert rows(simhash.deduplicated(documents(spark, [a, b, a], [3, 2, 1])), "doc_id") == [(1,), (2,)]
+
+
 # 3 and 4
 
 def brute_repeats(texts, length):
