@@ -9,36 +9,36 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomstat.llm import classifier, decontaminate, packing, secrets, simhash
-from loomstat.llm.shared import checkpoint_folder, read
+from loomstat.llm.shared import checkpoint_folder, read, remove
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier takes for good and not toxic."""
+    """Documents that the classifier takes for good and not toxic. Each row is judged by itself, also one with nulls or that is there twice."""
     return classifier.classify(docs, read(spark, sf_dir, "labels"), scores=False)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies, and all documents in no group."""
-    copies = simhash.near_duplicates(docs).where("doc_id <> group_id").select("doc_id")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    """The document of the smallest id of each group of near copies, and all documents in no group.
+
+    Of rows that repeat, by id or without one, one row of each text stays; texts that are null or have no words all stay.
+    """
+    return simhash.deduplicated(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no benchmark item."""
-    leaks = decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(docs.columns)
+    """Documents that contain no benchmark item. Rows of one id are one document; rows without an id are told apart by their texts."""
+    return decontaminate.cleaned(docs, read(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced."""
+    """All rows, with their secrets replaced; null texts stay null."""
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents and where each lies in its sequence."""
+    """The pieces of the documents and where each lies in its sequence; each row is packed, one without words has no piece."""
     return packing.pack(docs)
 
 
@@ -54,18 +54,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows for documents; what stages write lies in the checkpoint folder."""
+    """The last stage's rows for documents; what stages write lies in the checkpoint folder, until the next stage is written."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
         if k:
-            _remove(spark, f"{folder}/{k - 1}")
-    return docs.select(*[F.col(c) for c in docs.columns])
-
-
-def _remove(spark: SparkSession, folder: str) -> None:
-    """Delete what a stage wrote once the next has been written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove(spark, f"{folder}/{k - 1}")
+    return docs
