@@ -107,5 +107,6 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id", t
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     schema = T.StructType([source.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in ("piece", "n_words")]])
     pieces = checkpointed(source.mapInArrow(_pieces(capacity), schema))
-    made = plan(plans.counts(pieces, "n_words"), capacity)
-    return plans.assigned(ranked(pieces, "n_words", ["doc_id", "piece"]), made, "n_words", "rank", "bin_id", "bin_offset").select("doc_id", "piece", "n_words", "bin_id", "bin_offset")
+    lengths, many = plans.counts(pieces, "n_words")
+    made = plan(dict(zip(lengths.tolist(), many.tolist(), strict=True)), capacity)
+    return plans.assigned(ranked(pieces, "n_words", ["doc_id", "piece"], salts=plans.salts(many)), made, "n_words", "rank", "bin_id", "bin_offset").select("doc_id", "piece", "n_words", "bin_id", "bin_offset")

@@ -6,6 +6,7 @@ the number of different sizes, which is bounded, and not the number of items.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,17 +21,17 @@ from pyspark.sql import types as T
 class Plan:
     """Of the items of `size`, ranks from `first` on go in runs of `each` into bins `bin`, `bin` + 1, ...; the k-th of a run lies at offsets[at + k]."""
 
-    size: list[int] = field(default_factory=list)
-    first: list[int] = field(default_factory=list)
-    bin: list[int] = field(default_factory=list)
-    each: list[int] = field(default_factory=list)
-    at: list[int] = field(default_factory=list)
-    offsets: list[int] = field(default_factory=list)
+    size: array = field(default_factory=lambda: array("q"))
+    first: array = field(default_factory=lambda: array("q"))
+    bin: array = field(default_factory=lambda: array("q"))
+    each: array = field(default_factory=lambda: array("q"))
+    at: array = field(default_factory=lambda: array("q"))
+    offsets: array = field(default_factory=lambda: array("q"))
 
     def add(self, size: int, first: int, bin_: int, each: int, offsets: list[int]) -> None:
         for values, value in ((self.size, size), (self.first, first), (self.bin, bin_), (self.each, each), (self.at, len(self.offsets))):
             values.append(value)
-        self.offsets += offsets
+        self.offsets.extend(offsets)
 
 
 def assigned(df: DataFrame, plan: Plan, size: str, rank: str, bin_name: str, offset_name: str | None = None) -> DataFrame:
@@ -54,6 +55,12 @@ def assigned(df: DataFrame, plan: Plan, size: str, rank: str, bin_name: str, off
     return df.mapInArrow(apply, schema)
 
 
-def counts(df: DataFrame, size: str) -> dict[int, int]:
-    """Rows of each size, on the driver; as many entries as there are different sizes."""
-    return {int(r[0]): int(r[1]) for r in df.groupBy(size).agg(F.count("*")).collect()}
+def counts(df: DataFrame, size: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes and how many rows each has, on the driver as two arrays; as many entries as there are different sizes."""
+    found = df.groupBy(F.col(size).cast("long")).agg(F.count("*")).toArrow()
+    return tuple(found.column(k).to_numpy() for k in (0, 1))
+
+
+def salts(many: np.ndarray, least: int = 32, rows: int = 1 << 20) -> int:
+    """Parts into which rows of one size are split to be ranked, so that a part has about `rows` at most."""
+    return max(least, -(-int(many.max(initial=0)) // rows))

@@ -50,16 +50,17 @@ class CapacityTree:
         return None
 
 
-def plan(counts: dict[int, int], capacity: int) -> plans.Plan:
-    """Best-fit-decreasing over sizes in units. A group beyond the capacity gets a shard of its own; one of size 0 takes no room."""
+def plan(counts: dict[int, int] | tuple[np.ndarray, np.ndarray], capacity: int) -> plans.Plan:
+    """Best-fit-decreasing over sizes in units, given as a dict or as arrays of sizes and counts. A group beyond the capacity gets a shard of its own; one of size 0 takes no room."""
     out, tree, shards, next_shard = plans.Plan(), CapacityTree(capacity), {}, 0
 
     def put(remaining: int, first: int, n: int) -> None:
         shards.setdefault(remaining, []).append((first, n))
         tree.mark(remaining, True)
 
-    for size in sorted(counts, reverse=True):
-        left, rank = counts[size], 0
+    sizes, many = counts if isinstance(counts, tuple) else (np.array(list(x), np.int64) for x in (counts.keys(), counts.values()))
+    for k in np.argsort(sizes)[::-1]:
+        size, left, rank = int(sizes[k]), int(many[k]), 0
         if size > capacity:
             out.add(size, 0, next_shard, 1, [])
             next_shard += left
@@ -97,8 +98,9 @@ def shard(items: DataFrame, group_column: str, size_column: str, capacity: int =
     groups = items.groupBy(F.col(group_column).alias("group")).agg(F.coalesce(F.sum(F.col(size_column).cast("long")), F.lit(0)).alias("size"))
     # all sizes beyond the capacity are one class: each such group has a shard of its own whatever its size
     groups = checkpointed(groups.withColumn("units", F.least(F.ceil(F.col("size") / unit), F.lit(capacity // unit + 1)).cast("long")))
-    made = plan(plans.counts(groups, "units"), capacity // unit)
-    return plans.assigned(ranked(groups, "units", ["group"]), made, "units", "rank", "shard_id").select("group", "size", "shard_id")
+    counts = plans.counts(groups, "units")
+    made = plan(counts, capacity // unit)
+    return plans.assigned(ranked(groups, "units", ["group"], salts=plans.salts(counts[1])), made, "units", "rank", "shard_id").select("group", "size", "shard_id")
 
 
 def shard_documents(docs: DataFrame, capacity: int = CAPACITY, unit: int = UNIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,25 +43,54 @@ def rules(spark, rows: list[tuple[str, str]]) -> DataFrame:
     return spark.createDataFrame(made, "rule string, prefix string, action string")
 
 
+def _below(keys: pa.Array, least: bytes, low: int, high: int) -> int:
+    """The first place of low..high whose key isn't below `least`; keys are sorted there."""
+    while low < high:
+        middle = (low + high) // 2
+        if keys[middle].as_py() < least:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
 def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (range, key, rules first): each URL with the innermost rule that is open at its key."""
+    """Rows sorted by (range, key, rules first): each URL with the innermost rule that is open at its key.
+
+    The stack changes where a rule begins or the innermost one's interval ends; all URLs between two such places are done at once.
+    """
     stack: list[tuple[bytes, str, str]] = []
     now = None
     for batch in batches:
-        part, key, rule, action = (batch.column(c).to_pylist() for c in (0, 1, 3, 4))
-        urls, found = [], []
-        for i in range(batch.num_rows):
-            if part[i] != now:
-                stack, now = [], part[i]
-            while stack and not key[i].startswith(stack[-1][0]):
-                stack.pop()
-            if rule[i] is not None:
-                stack.append((key[i], rule[i], action[i]))
-            else:
-                urls.append(i)
-                found.append((stack[-1][1], stack[-1][2], len(stack)) if stack else (None, None, 0))
-        rows = [pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)] if found else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([batch.column(5).take(pa.array(urls, pa.int64())), batch.column(6).take(pa.array(urls, pa.int64())), *rows], ["page_id", "url", "rule", "action", "nested"])
+        n = batch.num_rows
+        keys, part = batch.column(1), batch.column(0).to_numpy(zero_copy_only=False)
+        opens = np.append(np.flatnonzero(batch.column(3).is_valid().to_numpy(zero_copy_only=False)), n)
+        names: list[tuple[str | None, str | None, int]] = []
+        runs: list[int] = []
+        at = 0
+        for end in np.append(np.flatnonzero(part[1:] != part[:-1]) + 1, n).tolist() if n else []:
+            if part[at] != now:
+                stack, now = [], part[at]
+            while at < end:
+                key = keys[at].as_py()
+                while stack and not key.startswith(stack[-1][0]):
+                    stack.pop()
+                rule = int(opens[np.searchsorted(opens, at)])
+                if rule == at:
+                    stack.append((key, batch.column(3)[at].as_py(), batch.column(4)[at].as_py()))
+                    at += 1
+                    continue
+                stop = min(rule, end)
+                if stack:
+                    stop = _below(keys, stack[-1][0] + b"\xff", at, stop)
+                names.append((stack[-1][1], stack[-1][2], len(stack)) if stack else (None, None, 0))
+                runs.append(stop - at)
+                at = stop
+        which = np.repeat(np.arange(len(runs)), runs)
+        mask = np.ones(n, bool)
+        mask[opens[:-1]] = False
+        rows = [pa.array([x[k] for x in names], t).take(pa.array(which)) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(pa.array(mask)) for k in (5, 6)), *rows], ["page_id", "url", "rule", "action", "nested"])
 
 
 def filtered(pages: DataFrame, ruleset: DataFrame, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
@@ -75,20 +105,21 @@ def filtered(pages: DataFrame, ruleset: DataFrame, id_column: str = "page_id", u
     keyed = pages.select(F.col(id_column).alias("page_id"), F.col(url_column).alias("url"), F.encode(F.coalesce(canonical(F.col(url_column)), F.lit("")), "UTF-8").alias("key"))
     sample = keyed.select("key").orderBy(F.xxhash64("url", "page_id")).limit(SAMPLED).distinct().toArrow().column(0).to_pylist()
     bounds = sorted(set(sorted(sample)[i * len(sample) // parts] for i in range(1, parts))) if sample else []
-    shared = spark.sparkContext.broadcast(bounds)
+    shared = spark.sparkContext.broadcast(np.array([*bounds, None], object)[:-1])
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ranges(low, high):  # the range of a key is the number of bounds that aren't above it
-        import bisect
-
-        import pandas as pd
+    def ranges(low: pd.Series, high: pd.Series) -> pd.Series:  # those of all keys of an interval
+        first, last = (np.searchsorted(shared.value, x.map(bytes).to_numpy(object), "right") for x in (low, high))
+        return pd.Series([list(range(a, b + 1)) for a, b in zip(first, last, strict=True)], dtype=object)
 
-        return pd.Series([list(range(bisect.bisect_right(shared.value, bytes(a)), bisect.bisect_right(shared.value, bytes(b)) + 1)) for a, b in zip(low, high, strict=True)])
+    @F.pandas_udf(T.IntegerType())
+    def range_of(key: pd.Series) -> pd.Series:  # the number of bounds that aren't above it
+        return pd.Series(np.searchsorted(shared.value, key.map(bytes).to_numpy(object), "right"))
 
     end = F.concat("key", F.unhex(F.lit("FF")))  # no UTF-8 text has this byte
     opened = ruleset.where("prefix is not null and prefix <> ''").select(F.encode("prefix", "UTF-8").alias("key"), F.lit(0).alias("kind"), F.coalesce("rule", F.lit("")).alias("rule"), F.coalesce("action", F.lit("")).alias("action"))
     opened = opened.select(F.explode(ranges("key", end)).alias("part"), "key", "kind", "rule", "action", F.lit(None).cast(keyed.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("url"))
-    asked = keyed.select(ranges("key", "key")[0].alias("part"), "key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"), "page_id", "url")
+    asked = keyed.select(range_of("key").alias("part"), "key", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("action"), "page_id", "url")
     both = opened.unionByName(asked).repartitionById(parts, "part").sortWithinPartitions("part", "key", "kind", "action", "rule")
     schema = T.StructType([T.StructField("page_id", keyed.schema["page_id"].dataType), *[T.StructField(n, t) for n, t in (("url", T.StringType()), ("rule", T.StringType()), ("action", T.StringType()), ("nested", T.LongType()))]])
     return both.mapInArrow(_sweep, schema)

@@ -316,6 +316,14 @@ def test_packing_plan_equals_one_bin_at_a_time(seed):
     assert sum(map(len, made)) == sum(map(len, brute)) and len(made) == len(brute)
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_packed_bins_equal_one_bin_at_a_time(seed):
+    rng = random.Random(100 + seed)
+    lengths = [rng.choice([rng.randrange(1, 30), rng.randrange(1, 9), 17]) for _ in range(rng.randrange(0, 80))]
+    made = [b for b, times in packing.patterns(Counter(lengths), 30) for _ in range(times)]
+    assert [sorted(b) for b in made] == [sorted(b) for b in brute_best_two_fit(lengths, 30)]
+
+
 def test_packing_places_every_piece_once(spark):
     rng = random.Random(3)
     texts = [sentence(rng, rng.choice([1, 5, 37, 40, 64, 100, 333])) for _ in range(150)] + ODD
@@ -379,6 +387,17 @@ def test_shards_keep_copies_together(spark):
     assert sharding.shard_documents(documents(spark, ["x"]).limit(0)).count() == 0
 
 
+def test_rows_without_an_id_are_sharded(spark):
+    out = sharding.shard_documents(documents(spark, ["a b", "a b", "c", None, ""], [None, 4, None, None, None]))
+    assert Counter((r.doc_id, r.group_id, r.n_bytes) for r in out.collect()) == {(None, 4, 3): 1, (4, 4, 3): 1, (None, None, 1): 1, (None, None, 0): 2}
+
+
+def test_sizes_come_as_arrays():
+    counts = {5: 3, 9: 1, 0: 2, 70: 2}
+    a, b = sharding.plan(counts, 10), sharding.plan((np.array(list(counts)), np.array(list(counts.values()))), 10)
+    assert a == b and sharding.plan((np.zeros(0, np.int64), np.zeros(0, np.int64)), 10) == sharding.plan({}, 10)
+
+
 def test_small_groups_fill_a_shard(spark):
     made = sharding.shard_documents(documents(spark, [f"{i:040}" for i in range(400)]), 4000)
     load = Counter(r.shard_id for r in made.collect())
@@ -566,6 +585,19 @@ def test_url_rules_equal_longest_prefix(spark):
     assert keys[pages.index("//example.com/x")] == "com.example./x" and keys[pages.index("no url")] is None
 
 
+def test_long_and_repeated_urls_over_small_batches(spark):
+    rules = [("example.com", "allow"), ("example.com/" + "x" * 5000, "block"), ("example.com/" + "x" * 5000 + "/y", "review"), ("b.example.com", "block")]
+    pages = ["http://example.com/" + "x" * n for n in (10, 4999, 5000, 5001, 200_000)] + ["http://example.com/" + "x" * 5000 + "/yes", "http://b.example.com/q", "http://bb.example.com"]
+    expected = ["allow", "allow", "block", "block", "block", "review", "block", "allow"]
+    df = spark.createDataFrame(list(enumerate(pages)) * 30, "page_id long, url string")
+    for batch in ("2", "10000"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        try:
+            assert rows(urls.filtered(df, urls.rules(spark, rules)), "page_id", "action") == sorted(list(enumerate(expected)) * 30)
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 # 9
 
 def test_machine_equals_all_pairs():
