@@ -9,15 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import category
-from .ranks import order_statistic
+from .ranks import at_share
 
 FLOOR = 1e-8
 
 
 def quantile(scores: DataFrame, score: str, level: float, by: list[str]) -> DataFrame:
     """(by..., q): the score at place min(n, ceil((n + 1) level)) in each group; ranges of values are sorted apart, not a group as a whole."""
-    place = F.least(F.col("_total"), F.ceil((F.col("_total") + 1) * F.lit(level)))
-    return order_statistic(scores, score, place, by).withColumnRenamed(score, "q")
+    return at_share(scores, score, level, lambda n: F.least(n, F.ceil((n + 1) * F.lit(level))), by).withColumnRenamed(score, "q")
 
 
 def global_intervals(calibration: DataFrame, validation: DataFrame, residual: str, prediction: str, level: float, by: list[str]) -> DataFrame:

@@ -167,6 +167,30 @@ def neighbours(df: DataFrame, vector: str, key: str, k: int = 10, skip_first: bo
     return found.withColumn("rank", place).where((F.col("rank") >= 1) & (F.col("rank") <= k)).select("key", "rank", "neighbour", "distance")
 
 
+def neighbour_overlap(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row (n, overlap): the mean Jaccard overlap of two tables of neighbours, over the rows that both have."""
+    lists = lambda df, name: df.groupBy("key").agg(F.collect_set("neighbour").alias(name))
+    both = lists(a, "_a").join(lists(b, "_b"), "key")  # of k neighbours a row
+    return both.agg(F.count("*").alias("n"), F.avg(F.size(F.array_intersect("_a", "_b")) / F.size(F.array_union("_a", "_b"))).alias("overlap"))
+
+
+def reconstruction_levels(df: DataFrame, actual: str, rebuilt: str, sources: list[str], kinds: dict[str, str]) -> DataFrame:
+    """(level, name, mse, mae): errors of all encoded columns, of each kind of source, and of each source; sources count alike in a kind."""
+    by_source = reconstruction(df, actual, rebuilt, sources)
+    kind = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])[F.col("source")]
+    mean = [F.avg("mse").alias("mse"), F.avg("mae").alias("mae")]
+    whole = reconstruction(df, actual, rebuilt).agg(*mean).select(F.lit("overall").alias("level"), F.lit("all").alias("name"), "mse", "mae")
+    balanced = by_source.agg(*mean).select(F.lit("balanced").alias("level"), F.lit("all").alias("name"), "mse", "mae")
+    typed = by_source.groupBy(kind.alias("name")).agg(*mean).select(F.lit("kind").alias("level"), "name", "mse", "mae")
+    return whole.unionByName(balanced).unionByName(typed).unionByName(by_source.select(F.lit("source").alias("level"), F.col("source").alias("name"), "mse", "mae"))
+
+
+def error_rank(errors: DataFrame, name: str, error: str, by: list[str] = ()) -> DataFrame:
+    """errors with rank, the largest error first and equal ones by name."""
+    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.desc(error), name)  # a row for each feature
+    return errors.withColumn("rank", F.row_number().over(window).cast("bigint"))
+
+
 def stability(a: np.ndarray, b: np.ndarray, k: int = 10) -> dict[str, float]:
     """Of two embeddings of the same sampled rows: mean absolute correlation after Procrustes, rank correlation of distances, Jaccard overlap of neighbours, and their mean."""
     turned = stats.procrustes(a, b)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -44,10 +43,10 @@ class Encoder:
         return df.withColumn(name, F.array(*self.columns()))
 
 
-def fit(train: DataFrame, numeric: list[str], categories: list[str], most: int = MOST_LEVELS) -> Encoder:
-    """Medians for missing numbers, then population deviations around means; the most frequent level for missing categories, and at most `most` levels, the rest folded into one."""
+def fit(train: DataFrame, numeric: list[str], categories: list[str], most: int = MOST_LEVELS, whole: bool = False) -> Encoder:
+    """Medians for missing numbers, then population deviations around means; the most frequent level for missing categories, and at most `most` levels, the rest folded into one. whole: no number is missing, so no medians are looked for."""
     x = {c: number(F.col(c)) for c in numeric}
-    medians = {c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(train, numeric, [0.5]).items()}
+    medians = dict.fromkeys(numeric, 0.0) if whole else {c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(train, numeric, [0.5]).items()}
     filled = {c: F.coalesce(x[c], F.lit(medians[c])) for c in numeric}
     row = train.agg(*[F.avg(filled[c]).alias(f"m{i}") for i, c in enumerate(numeric)], *[F.stddev_pop(filled[c]).alias(f"s{i}") for i, c in enumerate(numeric)]).first() if numeric else None
     levels = {}
@@ -61,16 +60,21 @@ def fit(train: DataFrame, numeric: list[str], categories: list[str], most: int =
     return Encoder(medians, {c: row[f"m{i}"] or 0.0 for i, c in enumerate(numeric)}, {c: row[f"s{i}"] or 1.0 for i, c in enumerate(numeric)}, {c: v[: most - 1] if folded[c] else v for c, v in levels.items()}, folded)
 
 
-def supervised(df: DataFrame, train: DataFrame, numeric: list[str], categories: list[str]) -> DataFrame:
-    """df with numbers filled by the training rows' medians and flagged by <name>__missing, and null categories as a level."""
-    medians = {c: v[0] for c, v in quantiles(train, numeric, [0.5]).items()}
-    out = df
-    for c in numeric:
-        out = out.withColumn(f"{c}__missing", number(F.col(c)).isNull().cast("int")).withColumn(c, F.coalesce(number(F.col(c)), F.lit(medians[c] if medians[c] is not None else 0.0)))
-    return out.withColumns({c: category(F.col(c)) for c in categories})
+@dataclass
+class Supervised:
+    """What models get: numbers filled by the training rows' medians and flagged by <name>__missing, and null categories as a level."""
+
+    medians: dict[str, float]
+    categories: list[str]
+
+    def numeric(self) -> list[str]:
+        return [*self.medians, *[f"{c}__missing" for c in self.medians]]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        made = {f"{c}__missing": number(F.col(c)).isNull().cast("double") for c in self.medians}
+        made |= {c: F.coalesce(number(F.col(c)), F.lit(m)) for c, m in self.medians.items()}
+        return df.withColumns(made | {c: category(F.col(c)) for c in self.categories})
 
 
-def matrix(df: DataFrame, features: str = "features") -> np.ndarray:
-    """The encoded rows on the driver, for small cohorts only."""
-    rows = df.select(features).toArrow().column(0).combine_chunks()
-    return np.stack(rows.to_numpy(zero_copy_only=False)) if len(rows) else np.zeros((0, 0))
+def supervised(train: DataFrame, numeric: list[str], categories: list[str]) -> Supervised:
+    return Supervised({c: v[0] if v[0] is not None else 0.0 for c, v in quantiles(train, numeric, [0.5]).items()}, categories)

@@ -7,9 +7,11 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.columns import positive
+from .ranks import quantile_table
 
 #: There is no predictor, and asking for one is an error rather than an estimate.
 PREDICTION_AVAILABLE = False
@@ -43,7 +45,9 @@ def support(df: DataFrame, energy: str, config: str, workload: list[str], stamp:
 
 def monthly(df: DataFrame, energy: str, stamp: str) -> DataFrame:
     """(month, n, median, mean) of measured rows."""
-    return measured(df, energy).groupBy(F.date_format(stamp, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"), F.median(energy).alias("median"), F.avg(energy).alias("mean"))
+    some = measured(df, energy).withColumn("month", F.date_format(stamp, "yyyy-MM"))
+    medians = quantile_table(some, [energy], {"median": 0.5}, ["month"])
+    return some.groupBy("month").agg(F.count("*").alias("n"), F.avg(energy).alias("mean")).join(medians, "month").select("month", "n", "median", "mean")
 
 
 def matches(selection: dict[str, Any]):
@@ -68,6 +72,32 @@ def exact_lookup(df: DataFrame, energy: str, selection: dict[str, Any], config:
     return found.select(status.alias("status"), "n", "configurations", "median", "min", "max", "first_date", "last_date")
 
 
+def observed_values(df: DataFrame, energy: str, fields: list[str]) -> DataFrame:
+    """(field, place, value): the different values of each field among measured rows, numbers in their order and all else as text."""
+    numeric = {f.name for f in df.schema if isinstance(f.dataType, T.NumericType)}
+    rows = [F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value"), (F.col(c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("_x")) for c in fields]
+    found = measured(df, energy).select(F.inline(F.array(*rows))).where("value is not null").distinct()
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("field").orderBy("_x", "value")).cast("bigint")).select("field", "place", "value")
+
+
+def configuration_coverage(df: DataFrame, energy: str, config: str, stamp: str) -> DataFrame:
+    """One row: measured rows, measured and all configurations, the share of the former, and the range of stamps."""
+    there = positive(F.col(energy)).isNotNull()
+    found = df.agg(F.count_if(there).alias("measured_rows"), F.count_distinct(F.when(there, F.col(config))).alias("measured_configurations"), F.count_distinct(config).alias("all_configurations"), F.min(F.when(there, F.col(stamp))).alias("first_date"), F.max(F.when(there, F.col(stamp))).alias("last_date"))
+    return found.withColumn("configuration_coverage", F.coalesce(F.try_divide("measured_configurations", "all_configurations"), F.lit(0.0)))
+
+
+def observed_report(df: DataFrame, energy: str, selection: dict[str, Any], config: str, metrics: list[str], stamp: str, price: float) -> DataFrame:
+    """exact_lookup's row with the matching configurations' names in their order, medians of metrics, and conversions of the median energy at a price."""
+    if price < 0:
+        raise ValueError("a price can't be negative")
+    hit = matches(selection)
+    names = F.array_join(F.transform(F.array_sort(F.collect_set(F.when(hit, F.col(config).cast("string")))), lambda x: x), ";")  # the result's own size
+    more = measured(df, energy).agg(names.alias("config_ids"), *[F.median(F.when(hit, F.col(c))).alias(f"{c}_median") for c in metrics])
+    both = exact_lookup(df, energy, selection, config, stamp).crossJoin(more)
+    return conversions(both, "median", price)
+
+
 def nearest(unit: DataFrame, selection: dict[str, Any], numeric: list[str], workload: list[str], energy: str, config: str, most: int = 5) -> DataFrame:
     """The `most` rows of the least distance: differences of numbers by their range over all rows, 1 for another or missing value; rows of the same workload come before any others and hide them. differing_fields names what differs."""
     ranges = unit.agg(*[(F.max(c) - F.min(c)).alias(c) for c in numeric]).first() if numeric else {}

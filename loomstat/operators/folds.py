@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,21 +10,48 @@ from ..functions.columns import shuffled
 
 
 def greedy_folds(df: DataFrame, group: str, folds: int) -> DataFrame:
-    """(group, fold): the largest group first, each to the fold with the fewest rows; at most as many folds as groups, two groups at least.
+    """(group, fold): the largest group first, of equal ones the least name, each to the fold with the fewest rows; at most as many folds as groups, two groups at least.
 
-    Groups are configurations: their counts come to the driver.
+    Groups of one size are alike to the plan, so the driver gets how many groups each size has, and no names.
     """
-    sizes = sorted(((r[0], r[1]) for r in df.where(F.col(group).isNotNull()).groupBy(group).count().collect()), key=lambda x: (-x[1], str(x[0])))
-    if len(sizes) < 2:
+    sizes = df.where(F.col(group).isNotNull()).groupBy(group).agg(F.count("*").alias("_n"))
+    counts = {r["_n"]: r["_g"] for r in sizes.groupBy("_n").agg(F.count("*").alias("_g")).collect()}  # a row for each size
+    if sum(counts.values()) < 2:
         raise ValueError("grouped folds need two groups")
-    heap = [(0, k) for k in range(min(max(folds, 2), len(sizes)))]
-    made = []
-    for key, n in sizes:
-        rows, fold = heapq.heappop(heap)
-        made.append((key, fold))
-        heapq.heappush(heap, (rows + n, fold))
-    kind = df.schema[group].dataType.simpleString()
-    return df.sparkSession.createDataFrame(made, f"`{group}` {kind}, fold int")
+    plan = greedy_plan(counts, min(max(folds, 2), sum(counts.values())))
+    plan = df.sparkSession.createDataFrame(plan, "_size bigint, _from bigint, _to bigint, _cycle array<int>")
+    order = Window.partitionBy("_n").orderBy(F.col(group).cast("string"))
+    placed = sizes.withColumn("_k", F.row_number().over(order) - 1)
+    met = placed.join(plan, (F.col("_n") == F.col("_size")) & (F.col("_k") >= F.col("_from")) & (F.col("_k") < F.col("_to")))
+    return met.select(group, F.get("_cycle", F.pmod(F.col("_k") - F.col("_from"), F.size("_cycle")).cast("int")).alias("fold"))
+
+
+def greedy_plan(counts: dict[int, int], folds: int) -> list[tuple[int, int, int, list[int]]]:
+    """(size, from, to, cycle): the groups of a size whose ranks are from..to - 1 go to the folds of the cycle in turn.
+
+    Folds with the fewest rows take groups in turn until they have as many as the next fold; so a size has at most as many
+    entries as there are folds, twice.
+    """
+    rows, out = [0] * folds, []
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            order = sorted(range(folds), key=lambda k: (rows[k], k))
+            # those that take a group before the least of them is due again
+            cycle = [k for k in order if (rows[k], k) < (rows[order[0]] + size, order[0])]
+            due = [k for k in order if k not in cycle]
+            # rounds after which the cycle is still the same: until its first member would not be before the next fold
+            rounds = min([left // len(cycle), *[max(1, (rows[k] - rows[cycle[0]] - (k < cycle[0])) // size) for k in due[:1]]])
+            if rounds:
+                n = rounds * len(cycle)
+            else:
+                rounds, n = 1, left
+                cycle = cycle[:left]
+            out.append((size, rank, rank + n, cycle))
+            for k in cycle:
+                rows[k] += rounds * size
+            rank, left = rank + n, left - n
+    return out
 
 
 def hashed_folds(df: DataFrame, group: str, folds: int, seed: int) -> DataFrame:

@@ -1,14 +1,17 @@
 """Small autoencoders and variational autoencoders in NumPy, one task for each run.
 
 p - 64 - 32 - k - 32 - 64 - p with rectifiers, Adam and early stopping. Runs are independent, so Spark fans them out; a run's
-rows are a hashed sample of bounded size, as they train in one worker's memory.
+training rows are a hashed sample of bounded size, as they are in one worker's memory. Its diagnostics are of all its
+validation rows, by sums that each batch of rows adds to.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -138,26 +141,80 @@ def traversal(net: Network, sources: list[str]) -> list[tuple[int, str, float]]:
     return out
 
 
+class _Sums:
+    """What validation rows add to a run's diagnostics: errors, divergence and moments of each dimension, and the output's change as each latent rises by 1."""
+
+    def __init__(self, net: Network, x: np.ndarray):
+        mean, log_var = net.encode(x)
+        rebuilt = net.decode(mean)
+        kl = -0.5 * (1 + log_var - mean**2 - np.exp(log_var)) if log_var is not None else np.zeros_like(mean)
+        shift = [np.abs(net.decode(mean + np.eye(net.k)[i]) - rebuilt).sum() for i in range(net.k)]
+        self.values = np.concatenate([[((rebuilt - x) ** 2).sum(), np.abs(rebuilt - x).sum()], kl.sum(0), mean.sum(0), (mean**2).sum(0), shift])
+
+
+def summarised(n: int, p: int, k: int, variational: bool, sums: np.ndarray) -> dict:
+    """The diagnostics of n rows out of their sums."""
+    kl, first, second, shift = (sums[2 + i * k : 2 + (i + 1) * k] / n for i in range(4))
+    active = (kl > ACTIVE) if variational else (second - first**2 > ACTIVE)
+    return {"validation_mse": sums[0] / (n * p), "validation_mae": sums[1] / (n * p), "kl": float(kl.sum()), "active": int(active.sum()), "sensitivity": float((shift / p).mean())}
+
+
 def screen(df: DataFrame, features: str, fold: str, order: list[str], runs: list[dict], epochs: int = 60, most: int = 20_000, **options) -> DataFrame:
     """One row of diagnostics for each run, a dict of method, k, seed, fold and beta: trained on all other folds and validated on its own, in parallel.
 
-    At most `most` rows, by the hash of `order`; they are multiplied by the number of runs, one group each.
+    A run is trained, and stopped, on at most `most` rows, those of the least hash of `order`; they are multiplied by the
+    number of runs, one group each. Its diagnostics are of all rows of its fold.
     """
     import pandas as pd
 
     spark = df.sparkSession
     some = df.select(features, F.col(fold).alias("_fold"), F.xxhash64(*order).alias("_h")).orderBy("_h", F.xxhash64(features)).limit(most)
     table = spark.createDataFrame([(i, r["method"], r["k"], r["seed"], r["fold"], float(r.get("beta", 0.0))) for i, r in enumerate(runs)], "run int, method string, k bigint, seed bigint, fold bigint, beta double")
+    fields = ["run", "method", "k", "seed", "fold", "beta", "parameters", "best_epoch", "train_mse", "weights"]
 
-    def apply(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_h", kind="stable")
         x = np.stack(pdf[features].to_numpy()).astype(float)
         r = pdf.iloc[0]
         held = (pdf["_fold"] == r["fold"]).to_numpy()
         net, found = train(x[~held], x[held], r["method"], int(r["k"]), int(r["seed"]), float(r["beta"]), epochs, **options)
-        return pd.DataFrame([{**{c: r[c] for c in ("method", "k", "seed", "fold", "beta")}, "parameters": net.parameters, **found}])[[c.split(" ")[0] for c in RESULT.split(", ")]]
+        return pd.DataFrame([{**{c: r[c] for c in fields[:6]}, "parameters": net.parameters, **found, "weights": np.concatenate([w.ravel() for w in net.weights]).tobytes()}])[fields]
+
+    nets = some.crossJoin(F.broadcast(table)).groupBy("run").applyInPandas(fitted, "run int, method string, k bigint, seed bigint, fold bigint, beta double, parameters bigint, best_epoch bigint, train_mse double, weights binary").cache()
+    held = {r["run"]: r for r in nets.select("run", "method", "k", "fold", "weights").collect()}  # a network a run
+    shared = spark.sparkContext.broadcast({i: (r["method"] == "vae", int(r["k"]), int(r["fold"]), r["weights"]) for i, r in held.items()})
+
+    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict[int, Network] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, of = np.stack(batch.column(0).to_numpy(zero_copy_only=False)).astype(float), batch.column(1).to_numpy(zero_copy_only=False)
+            for i, (variational, k, own, weights) in shared.value.items():
+                rows = x[of == own]
+                if len(rows):
+                    if i not in made:
+                        made[i] = restored(x.shape[1], k, variational, weights)
+                    yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([x.shape[1]], pa.int64()), pa.array([_Sums(made[i], rows).values])], ["run", "n", "p", "sums"])
+
+    parts = df.where(F.col(features).isNotNull()).select(features, F.col(fold).cast("bigint")).mapInArrow(judged, "run int, n bigint, p bigint, sums array<double>")
+    added = parts.select("run", "n", "p", F.posexplode("sums").alias("i", "x")).groupBy("run", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.max("p").alias("p"))
+    line = added.groupBy("run").agg(F.max("n").alias("n"), F.max("p").alias("p"), F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda v: v["x"]).alias("sums"))
+
+    def told(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = pdf.iloc[0]
+        found = summarised(int(r["n"]), int(r["p"]), int(r["k"]), r["method"] == "vae", np.array(r["sums"]))
+        return pd.DataFrame([{**r, **found}])[[c.split(" ")[0] for c in RESULT.split(", ")]]
+
+    return nets.drop("weights").join(line, "run").groupBy("run").applyInPandas(told, RESULT)  # a row for each run
+
 
-    return some.crossJoin(F.broadcast(table)).groupBy("run").applyInPandas(apply, RESULT)  # a row for each run
+def restored(p: int, k: int, variational: bool, weights: bytes) -> Network:
+    net, flat, at = Network(p, k, variational, np.random.default_rng(0)), np.frombuffer(weights), 0
+    for i, w in enumerate(net.weights):
+        net.weights[i] = flat[at : at + w.size].reshape(w.shape)
+        at += w.size
+    return net
 
 
 def select_dimension(runs: DataFrame, tolerance: float = 0.01) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import stats
-from .units import sample
 
 
 def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -21,7 +21,7 @@ def _rows(batch: pa.RecordBatch, column: str) -> np.ndarray:
 
 
 def covariance(df: DataFrame, features: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and population covariance of a vector column; each partition sends one matrix, shifted by its own mean."""
+    """Rows, mean and population covariance of a vector column, in one job: each partition makes one matrix, shifted by its own mean, and matrices are added in a tree."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, mean, scatter = 0, None, None
@@ -40,18 +40,50 @@ def covariance(df: DataFrame, features: str) -> tuple[int, np.ndarray, np.ndarra
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([mean.tobytes()]), pa.array([scatter.tobytes()])], ["n", "mean", "scatter"])
 
-    n, mean, scatter = 0, np.zeros(0), np.zeros((0, 0))
-    found = df.where(F.col(features).isNotNull()).select(features).mapInArrow(apply, "n long, mean binary, scatter binary")
-    for r in found.toLocalIterator():  # one small matrix a partition, never all at once
-        m = np.frombuffer(r["mean"])
-        s = np.frombuffer(r["scatter"]).reshape(len(m), len(m))
-        if not n:
-            n, mean, scatter = r["n"], m, s
-        else:
-            d, total = m - mean, n + r["n"]
-            scatter = scatter + s + np.outer(d, d) * (n * r["n"] / total)
-            mean, n = mean + d * (r["n"] / total), total
-    return n, mean, scatter / max(n, 1)
+    found = df.where(F.col(features).isNotNull()).select(features).mapInArrow(apply, PARTIAL)
+    some = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) + 1
+    row = found.repartition(some).mapInArrow(added(0), PARTIAL).repartition(1).mapInArrow(added(0), PARTIAL).first()
+    if row is None:
+        return 0, np.zeros(0), np.zeros((0, 0))
+    mean = np.frombuffer(row["mean"])
+    return row["n"], mean, np.frombuffer(row["scatter"]).reshape(len(mean), -1) / row["n"]
+
+
+PARTIAL = "n long, mean binary, scatter binary"
+
+
+def _sum(a: tuple | None, b: tuple) -> tuple:
+    """Rows, mean and scatter of two sets of rows together."""
+    if a is None:
+        return b
+    (n, mean, scatter), (m, other, theirs) = a, b
+    d, total = other - mean, n + m
+    return total, mean + d * (m / total), scatter + theirs + np.outer(d, d) * (n * m / total)
+
+
+def _partial(keys: list, parts: list[tuple], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*keys, pa.array([p[0] for p in parts]), *[pa.array([p[k].tobytes() for p in parts], pa.binary()) for k in (1, 2)]], names)
+
+
+def added(keys: int):
+    """A map that adds rows (n, mean, scatter): all of a partition, or those of equal first column of rows sorted by it. One sum is held at a time."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total, names = None, None, None
+        for batch in batches:
+            names = batch.schema.names
+            for i in range(batch.num_rows):
+                key = batch.column(0).slice(i, 1) if keys else None
+                if keys and now is not None and not key.equals(now):
+                    yield _partial([now], [total], names)
+                    total = None
+                mean = np.frombuffer(batch.column(keys + 1)[i].as_buffer())
+                total = _sum(total, (batch.column(keys)[i].as_py(), mean, np.frombuffer(batch.column(keys + 2)[i].as_buffer()).reshape(len(mean), -1)))
+                now = key
+        if total is not None:
+            yield _partial([now] if keys else [], [total], names)
+
+    return apply
 
 
 @dataclass
@@ -145,17 +177,27 @@ def stability(df: DataFrame, features: str, key: str, components: int = 5, runs:
 def bootstrap(df: DataFrame, features: str, group: str, runs: int = 20, components: int = 5, seed: int = 17) -> list[tuple[int, int, float, float]]:
     """(component, feature, low, high): 95 % intervals of aligned loadings over resamples of groups.
 
-    Groups' counts, means and scatter are made in one pass; a resample only weighs them.
+    Each batch of rows makes a matrix for each of its groups, these are added, and a resample only weighs the groups' sums,
+    which come to the driver: a matrix a group.
     """
 
-    def apply(key, pdf):
-        import pandas as pd
-
-        x = np.stack(pdf[features].to_numpy()).astype(float)
-        m = x.mean(0)
-        return pd.DataFrame({"n": [len(x)], "mean": [m.tobytes()], "scatter": [((x - m).T @ (x - m)).tobytes()]})
-
-    rows = df.select(group, features).groupBy(group).applyInPandas(apply, "n long, mean binary, scatter binary").orderBy("mean").collect()
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column(0).dictionary_encode()
+            of, x = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False), _rows(batch, features)
+            parts = []
+            for k in np.unique(of):
+                some = x[of == k]
+                m = some.mean(0)
+                parts.append((len(some), m, (some - m).T @ (some - m)))
+            first = [int(np.flatnonzero(of == k)[0]) for k in np.unique(of)]
+            yield _partial([batch.column(0).take(pa.array(first))], parts, [group, "n", "mean", "scatter"])
+
+    schema = T.StructType([df.schema[group], T.StructField("n", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("mean", "scatter")]])
+    parts = df.where(F.col(features).isNotNull()).select(group, features).mapInArrow(apply, schema)
+    rows = parts.repartition(group).sortWithinPartitions(group).mapInArrow(added(1), schema).orderBy("mean").collect()
     n = np.array([r["n"] for r in rows], float)
     means = np.stack([np.frombuffer(r["mean"]) for r in rows])
     scatters = np.stack([np.frombuffer(r["scatter"]).reshape(means.shape[1], -1) for r in rows])
@@ -172,7 +214,3 @@ def bootstrap(df: DataFrame, features: str, group: str, runs: int = 20, componen
         found.append(v * np.sign((v * base).sum(0)))
     low, high = np.percentile(np.stack(found), [2.5, 97.5], axis=0)
     return [(k + 1, i, float(low[i, k]), float(high[i, k])) for k in range(components) for i in range(base.shape[0])]
-
-
-def sampled(df: DataFrame, most: int, seed: int, key: str) -> DataFrame:
-    return sample(df, most, seed, key)

@@ -1,112 +1,150 @@
-"""Positions, ranks and order statistics without a window over all rows."""
+"""Positions, ranks and order statistics without a window over all rows, as plans that run when their result does."""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.columns import number, pearson
 
-def ranges(df: DataFrame, value: str) -> DataFrame:
-    """df with _range, the number of the range of values between approximate quantiles, as many as there are shuffle partitions; equal values share one."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = df.agg(F.percentile_approx(value, [i / parts for i in range(1, parts)] or [0.5], 10_000)).first()[0] or []
-    edges = F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]).cast("array<double>")
-    return df.withColumn("_range", F.size(F.filter(edges, lambda e: e < F.col(value))))
+#: Of the sketches that bracket order statistics: a rank is off by at most one part in ACCURACY, so brackets reach three parts to either side.
+ACCURACY = 10_000
+REACH = 3 / ACCURACY
 
 
-def positions(df: DataFrame, value: str, within: list[str] | None = None) -> DataFrame:
-    """df with _before (rows of a lower value), _ties (rows of the same value) and _total among the rows of the same `within`; nulls are left out.
+def _brackets(value: Column, shares: list[float]) -> Column:
+    """Aggregate: an array of (a, b) between which lies the order statistic of each share, but for one place to either side."""
+    ends = [x for p in shares for x in (max(0.0, p - REACH), min(1.0, p + REACH))]
+    found = F.percentile_approx(value, ends, ACCURACY)
+    return F.transform(F.sequence(F.lit(0), F.lit(len(shares) - 1)), lambda i: F.struct(F.get(found, 2 * i).alias("a"), F.get(found, 2 * i + 1).alias("b")))
+
+
+Place = Callable[[Column], Column]
+
 
-    Rows are split at approximate quantiles into as many ranges as there are shuffle partitions. Windows hold one range of
-    values each, and the ranges' sizes, a table of ranges x groups, are added.
+def at_places(df: DataFrame, columns: list[str], asked: dict[str, tuple[float, Place]], within: list[str] | None = None) -> DataFrame:
+    """(within..., column, _total, a value for each name): the value at a place, from 0, among the column's values in each group, in order.
+
+    asked gives for each name a share near the place and the place as a function of the number of values. Two scans: a sketch
+    brackets the places, then values between brackets are counted and values inside of them are counted one by one. Only what
+    lies inside, a REACH-th of the values a place, is ever sorted, and equal values are one row before any shuffle. Nulls don't
+    count; a group without a value has no row.
     """
     within = within or []
-    df = df.where(F.col(value).isNotNull())
-    df = ranges(df, value)
-    sizes = df.groupBy(*within, "_range").agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(*within).orderBy("_range") if within else Window.orderBy("_range")
-    everything = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
-    sizes = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(within)], F.col("_range").alias("_r"), (F.sum("_n").over(order) - F.col("_n")).alias("_offset"), F.sum("_n").over(everything).alias("_total"))
-    in_range = Window.partitionBy(*within, "_range")
-    df = df.withColumn("_rank", F.rank().over(in_range.orderBy(value))).withColumn("_ties", F.count("*").over(Window.partitionBy(*within, "_range", value)))
-    same = F.col("_range") == F.col("_r")
-    for i, c in enumerate(within):
-        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
-    joined = df.join(sizes, same).withColumn("_before", F.col("_offset") + F.col("_rank") - 1)
-    return joined.drop("_range", "_r", "_rank", "_offset", *[f"_k{i}" for i in range(len(within))])
+    shares = sorted({p for p, _ in asked.values()})
+    keys = [f"_g{i}" for i in range(len(within))]
+    picked = df.select(*[F.col(c).alias(k) for c, k in zip(within, keys, strict=True)], *[number(F.col(c)).alias(f"_c{i}") for i, c in enumerate(columns)])
+    sketches = picked.groupBy(*keys).agg(*[_brackets(F.col(f"_c{i}"), shares).alias(f"_b{i}") for i in range(len(columns))])
+    if within:
+        names = [f"_h{i}" for i in range(len(within))]
+        sketches = sketches.withColumnsRenamed(dict(zip(keys, names, strict=True)))
+        same = [F.col(k).eqNullSafe(F.col(h)) for k, h in zip(keys, names, strict=True)]
+        joined = picked.join(sketches, same)
+    else:
+        joined = picked.crossJoin(F.broadcast(sketches))  # one row
+    long = joined.select(*keys, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_c{i}").alias("v"), F.col(f"_b{i}").alias("_b")) for i, c in enumerate(columns)]))).where("v is not null")
+    inside = F.exists("_b", lambda x: F.col("v").between(x["a"], x["b"]))
+    gap = F.when(~inside, F.size(F.filter("_b", lambda x: x["b"] < F.col("v"))))
+    pieces = long.groupBy(*keys, "column", gap.alias("_gap"), F.when(inside, F.col("v")).alias("_v")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    group = Window.partitionBy(*keys, "column")
+    pieces = pieces.withColumn("before", F.sum("n").over(group.orderBy("low").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).withColumn("_total", F.sum("n").over(group))
+    last = F.col("before") + F.col("n") - 1
+
+    def value(place: Column) -> Column:
+        return F.max(F.when(place == F.col("before"), F.col("low")).when(place == last, F.col("high")).when((place > F.col("before")) & (place < last) & F.col("_v").isNotNull(), F.col("_v")))
+
+    found = pieces.groupBy(*keys, "column").agg(F.max("_total").alias("_total"), *[value(place(F.col("_total"))).alias(name) for name, (_, place) in asked.items()])
+    return found.withColumnsRenamed(dict(zip(keys, within, strict=True)))
+
+
+def quantile_table(df: DataFrame, columns: list[str], shares: dict[str, float], within: list[str] | None = None) -> DataFrame:
+    """(within..., column, a quantile for each name): exact quantiles, linearly interpolated; a column without a value has no row."""
+    asked: dict[str, tuple[float, Place]] = {}
+    for name, p in shares.items():
+        asked[f"_low_{name}"] = (p, lambda t, p=p: F.floor((t - 1) * F.lit(p)))
+        asked[f"_high_{name}"] = (p, lambda t, p=p: F.ceil((t - 1) * F.lit(p)))
+    found = at_places(df, columns, asked, within)
+    part = lambda p: (F.col("_total") - 1) * F.lit(p) - F.floor((F.col("_total") - 1) * F.lit(p))
+    return found.select(*(within or []), "column", *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * part(p)).alias(n) for n, p in shares.items()])
 
 
-def average_rank(df: DataFrame, value: str, name: str, within: list[str] | None = None) -> DataFrame:
-    """df with the rank from 1 of each row's value, the mean of the places of equal values."""
-    return positions(df, value, within).withColumn(name, F.col("_before") + (F.col("_ties") + 1) / 2).drop("_before", "_ties", "_total")
+def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of whole columns on the driver, for what is fitted to them; a column without a value has None."""
+    if not columns:
+        return {}
+    rows = quantile_table(df, columns, {f"q{i}": p for i, p in enumerate(shares)}).collect()  # a row for each column
+    found = {r["column"]: [r[f"q{i}"] for i in range(len(shares))] for r in rows}
+    return {c: found.get(c, [None] * len(shares)) for c in columns}
 
 
-def spearman(df: DataFrame, a: str, b: str, within: list[str] | None = None) -> DataFrame:
-    """(within..., spearman, n) over rows with both values; null below three or without spread."""
-    from ..functions.columns import pearson
+def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
+    """Different edges of equally filled bins, linearly interpolated."""
+    return sorted({v for v in quantiles(df, [value], [i / bins for i in range(bins + 1)])[value] if v is not None})
 
-    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = average_rank(average_rank(both, a, "_ra", within), b, "_rb", within)
-    return ranked.groupBy(*(within or [])).agg(pearson(F.col("_ra"), F.col("_rb")).alias("spearman"), F.count("*").alias("n"))
 
+def at_share(df: DataFrame, value: str, share: float, place: Place, within: list[str] | None = None) -> DataFrame:
+    """(within..., value) at a place counted from 1, a function of the number of values that is within one of `share` of them."""
+    return at_places(df, [value], {"_at": (share, lambda t: place(t) - 1)}, within).select(*(within or []), F.col("_at").alias(value))
 
-def order_statistic(df: DataFrame, value: str, place: Column, within: list[str] | None = None) -> DataFrame:
-    """(within..., value) of the row at place, counted from 1; place may use _total, the group's rows."""
-    found = positions(df, value, within)
-    hit = found.where((F.col("_before") < place) & (place <= F.col("_before") + F.col("_ties")))
-    return hit.groupBy(*(within or [])).agg(F.min(value).alias(value))
 
+def ranges(df: DataFrame, value: str) -> DataFrame:
+    """df with _range, the number of the range of values between approximate quantiles, as many as there are shuffle partitions; equal values share one.
 
-def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[str, list[float | None]]:
-    """Exact quantiles of whole columns, linearly interpolated; null values don't count, and a column without any has None.
+    The edges are a row of their own in two levels, so that a value is compared with some two roots of their number.
+    """
+    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    some = math.isqrt(parts - 1) + 1
+    found = F.array_sort(F.array_distinct(F.coalesce(F.percentile_approx(value, [i / parts for i in range(1, parts)], ACCURACY), F.array().cast("array<double>"))))
+    edges = df.agg(found.cast("array<double>").alias("_edges"))
+    chunks = F.transform(F.sequence(F.lit(0), F.lit(some - 1)), lambda i: F.slice("_edges", i * some + 1, some))
+    edges = edges.select(F.filter(chunks, lambda x: F.size(x) > 0).alias("_chunks"))
+    above = F.size(F.filter("_chunks", lambda x: F.element_at(x, -1) < F.col(value)))  # chunks that lie below the value as a whole
+    within = F.coalesce(F.size(F.filter(F.get("_chunks", above), lambda e: e < F.col(value))), F.lit(0))
+    return df.crossJoin(F.broadcast(edges)).withColumn("_range", above * some + within).drop("_chunks")  # one row
+
+
+def levels(df: DataFrame, value: str, within: list[str] | None = None) -> DataFrame:
+    """(within..., value, _ties, _before, _total): each different value with its rows, the rows of lower values, and all rows of its group.
 
-    No task holds a column: values are counted, their counts are added in ranges between approximate quantiles, and only the
-    ranges with a wanted place are sorted. The driver gets a number for each range and each quantile.
+    Equal values are one row before any shuffle; the different ones are cumulated in ranges between approximate quantiles, and
+    the ranges' sizes, a table of ranges x groups, are added. Nulls are left out.
     """
-    import math
+    within = within or []
+    counted = ranges(df.where(F.col(value).isNotNull()).groupBy(*within, value).agg(F.count("*").alias("_ties")), value)
+    sizes = counted.groupBy(*within, "_range").agg(F.sum("_ties").alias("_n"))
+    whole = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))  # a row for each range
+    sizes = sizes.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(within)], F.col("_range").alias("_r"), (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_offset"), F.sum("_n").over(whole).alias("_total"))
+    order = Window.partitionBy(*within, "_range").orderBy(value)
+    counted = counted.withColumn("_before", F.sum("_ties").over(order) - F.col("_ties"))
+    same = [F.col("_range") == F.col("_r"), *[F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(within)]]
+    return counted.join(sizes, same).select(*within, value, "_ties", (F.col("_before") + F.col("_offset")).alias("_before"), "_total")
 
-    from ..functions.columns import number
 
-    if not columns:
-        return {}
-    parts = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    found = df.agg(*[F.percentile_approx(number(F.col(c)), [i / parts for i in range(1, parts)], 10_000) for c in columns]).first()
-    edges = F.create_map(*[x for c, b in zip(columns, found, strict=True) for x in (F.lit(c), F.array(*[F.lit(float(v)) for v in sorted(set(b or []))]).cast("array<double>"))])
-    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), number(F.col(c)).alias("v")) for c in columns]))).where("v is not null")
-    levels = long.groupBy("c", "v").agg(F.count("*").alias("n")).withColumn("r", F.size(F.filter(edges[F.col("c")], lambda e: e < F.col("v"))))
-    sizes: dict[str, list[tuple[int, int]]] = {c: [] for c in columns}
-    for row in levels.groupBy("c", "r").agg(F.sum("n").alias("n")).orderBy("c", "r").collect():  # columns x ranges
-        sizes[row["c"]].append((row["r"], row["n"]))
-    wanted = set()
-    for c in columns:
-        total = sum(n for _, n in sizes[c])
-        for p in shares if total else []:
-            for place in {math.floor((total - 1) * p), math.ceil((total - 1) * p)}:
-                before = 0
-                for r, n in sizes[c]:
-                    if place < before + n:
-                        wanted.add((c, r, place - before, place))
-                        break
-                    before += n
-    if not wanted:
-        return {c: [None] * len(shares) for c in columns}
-    asked = df.sparkSession.createDataFrame(sorted(wanted), "c string, r int, k bigint, place bigint")
-    near = levels.join(F.broadcast(asked.select("c", "r").distinct()), ["c", "r"], "left_semi")  # of two rows a quantile
-    near = near.withColumn("up", F.sum("n").over(Window.partitionBy("c", "r").orderBy("v")))
-    at = {(r["c"], r["place"]): r["v"] for r in near.join(F.broadcast(asked), ["c", "r"]).where("k < up and k >= up - n").select("c", "place", "v").collect()}
-
-    def value(c: str, p: float) -> float | None:
-        total = sum(n for _, n in sizes[c])
-        if not total:
-            return None
-        x = (total - 1) * p
-        low, high = at[(c, math.floor(x))], at[(c, math.ceil(x))]
-        return low + (high - low) * (x - math.floor(x))
-
-    return {c: [value(c, p) for p in shares] for c in columns}
+def order_statistic(df: DataFrame, value: str, place: Column, within: list[str] | None = None) -> DataFrame:
+    """(within..., value) at any place, counted from 1; place may use _total, the group's rows."""
+    hit = levels(df, value, within).where((F.col("_before") < place) & (place <= F.col("_before") + F.col("_ties")))
+    return hit.groupBy(*(within or [])).agg(F.min(value).alias(value))
 
 
-def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
-    """Different edges of equally filled bins, linearly interpolated."""
-    return sorted({v for v in quantiles(df, [value], [i / bins for i in range(bins + 1)])[value] if v is not None})
+def positions(df: DataFrame, value: str, within: list[str] | None = None) -> DataFrame:
+    """df with _before (rows of a lower value), _ties (rows of the same value) and _total among the rows of the same `within`; nulls are left out."""
+    within = within or []
+    names = {c: f"_k{i}" for i, c in enumerate((*within, value))}
+    same = [F.col(c).eqNullSafe(F.col(k)) for c, k in names.items()]
+    return df.where(F.col(value).isNotNull()).join(levels(df, value, within).withColumnsRenamed(names), same).drop(*names.values())
+
+
+def average_rank(df: DataFrame, value: str, name: str, within: list[str] | None = None) -> DataFrame:
+    """df with the rank from 1 of each row's value, the mean of the places of equal values."""
+    return positions(df, value, within).withColumn(name, F.col("_before") + (F.col("_ties") + 1) / 2).drop("_before", "_ties", "_total")
+
+
+def spearman(df: DataFrame, a: str, b: str, within: list[str] | None = None) -> DataFrame:
+    """(within..., spearman, n) over rows with both values; null below three or without spread."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*(within or []), F.col(a).alias("_a"), F.col(b).alias("_b"))
+    ranked = average_rank(average_rank(both, "_a", "_ra", within), "_b", "_rb", within)
+    return ranked.groupBy(*(within or [])).agg(pearson(F.col("_ra"), F.col("_rb")).alias("spearman"), F.count("*").alias("n"))

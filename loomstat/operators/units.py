@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import first_value, latest, number
+from ..functions.columns import first_value, latest, number, row_identity
 
 KEYS = ("config_id", "benchmark_type", "isl", "osl", "conc")
 
@@ -32,6 +34,31 @@ def join_configurations(runs: DataFrame, configs: DataFrame, key: str = "config_
     return runs.join(configs.drop(*[c for c in configs.columns if c in runs.columns and c != key]), key, "left")
 
 
+def majority(df: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(keys..., label, n): the most frequent label of each group, of equally frequent ones the least; counted before any shuffle."""
+    counts = df.groupBy(*keys, label).agg(F.count("*").alias("n"))
+    best = counts.groupBy(*keys).agg(F.min_by(F.struct(label, "n"), F.struct(-F.col("n"), label)).alias("_b"))
+    return best.select(*keys, F.col(f"_b.{label}").alias(label), F.col("_b.n").alias("n"))
+
+
+def filtered(df: DataFrame, equal: dict[str, Any], stamp: str | None = None, prefix: str = "") -> DataFrame:
+    """Rows whose columns, as text, equal the chosen ones, and whose stamp begins with a prefix such as 2026-07; nothing chosen keeps all."""
+    for c, v in equal.items():
+        df = df.where(F.col(c).cast("string") == F.lit(str(v)))
+    return df.where(F.col(stamp).cast("string").startswith(prefix)) if stamp and prefix else df
+
+
+def cohort_digest(df: DataFrame, keys: list[str], group: str, expected: dict[str, int] | None = None) -> DataFrame:
+    """One row: rows, groups, and a digest of all row ids whatever their order. Other numbers than expected are an error."""
+    ids = df.select(group, row_identity(*[F.col(c) for c in keys]).alias("_id"))
+    found = ids.agg(F.count("*").alias("rows"), F.count_distinct(group).alias("groups"), F.sum(F.conv(F.substring("_id", 1, 15), 16, 10).cast("decimal(38,0)")).cast("string").alias("digest"))
+    if expected:
+        row = found.first().asDict()
+        if wrong := {k: row[k] for k, v in expected.items() if row[k] != v}:
+            raise ValueError(f"unexpected numbers: {wrong}")
+    return found
+
+
 def unmatched(runs: DataFrame, configs: DataFrame, key: str = "config_id") -> DataFrame:
     """(key, rows) of runs without a configuration."""
     return runs.join(configs.select(key), key, "left_anti").groupBy(key).agg(F.count("*").alias("rows"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analytics, modelling
+from . import analytics, modelling, reporting
 
-QUERIES = analytics.QUERIES | modelling.QUERIES
-ORACLES = analytics.ORACLES | modelling.ORACLES
+QUERIES = analytics.QUERIES | modelling.QUERIES | reporting.QUERIES
+ORACLES = analytics.ORACLES | modelling.ORACLES | reporting.ORACLES

@@ -12,7 +12,7 @@ from ..functions import stats
 from ..operators import conformal, diagnostics, embedding, encode, folds, models, neural, pca, ranks
 from . import reports, tables, workflows
 from .analytics import rounded
-from .tables import JOINED, RUNS
+from .tables import CONFIGS, JOINED, RUNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,7 +37,10 @@ def folds_hash_grouped(spark, sf_dir):
     return rounded(folds.hashed_folds(tables.runs(spark, sf_dir), "config_id", 3, 17))
 
 
-@query()
+@query(f"""WITH RECURSIVE {RUNS}, g AS (SELECT config_id, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, config_id::VARCHAR) AS k FROM runs WHERE config_id IS NOT NULL GROUP BY 1),
+s AS (SELECT 0::BIGINT AS k, [0, 0, 0, 0, 0]::BIGINT[] AS load, NULL::BIGINT AS config_id, NULL::BIGINT AS fold
+UNION ALL SELECT g.k, list_transform(range(1, 6), lambda i: load[i] + CASE WHEN i = list_position(load, list_min(load)) THEN g.n ELSE 0 END)::BIGINT[], g.config_id, list_position(load, list_min(load)) - 1 FROM s JOIN g ON g.k = s.k + 1)
+SELECT config_id, fold FROM s WHERE k > 0""")
 def folds_greedy_grouped(spark, sf_dir):
     return rounded(folds.greedy_folds(tables.runs(spark, sf_dir), "config_id", 5))
 
@@ -152,7 +155,7 @@ _BOUNDS = "t AS (SELECT config_framework AS tf, quantile_cont(residual, 0.1) AS
 @query(f"WITH {_SPLIT}, {_BOUNDS}, {_quantile_sql('greatest(lo - tput, tput - hi)', 'benchmark_type', 'cs')} SELECT run_id, conc, round(lo - q, 4) AS lower, round(hi + q, 4) AS upper FROM vs JOIN w ON qk = benchmark_type")
 def conformal_cqr(spark, sf_dir):
     c, v = _split(spark, sf_dir)
-    bounds = c.groupBy("config_framework").agg(F.percentile("residual", 0.1).alias("_l"), F.percentile("residual", 0.9).alias("_h"))
+    bounds = ranks.quantile_table(c, ["residual"], {"_l": 0.1, "_h": 0.9}, ["config_framework"]).drop("column")
     both = [x.join(bounds, "config_framework").withColumn("low", F.col("prediction") + F.col("_l")).withColumn("high", F.col("prediction") + F.col("_h")) for x in (c, v)]
     df = conformal.quantile_intervals(*both, "tput", "low", "high", _LEVEL, ["benchmark_type"])
     return df.select("run_id", "conc", F.round("lower", 4).alias("lower"), F.round("upper", 4).alias("upper"))
@@ -188,7 +191,11 @@ def context_nearest(spark, sf_dir):
     return df.select("s_suppkey", F.round("distance", 6).alias("distance"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {CONFIGS}, v AS (SELECT config_id, ['h' || config_hardware, 'f' || config_framework, 'n' || config_negative] AS a, ['h' || config_hardware, 'f' || config_framework, 'n' || config_negative] AS b FROM configs),
+p AS (SELECT 0 AS step, NULL::BIGINT AS config_id, []::VARCHAR[] AS shown UNION ALL
+SELECT step + 1, x.config_id, list_concat(shown, x.a) FROM (SELECT p.step, p.shown, v.config_id, v.a, row_number() OVER (ORDER BY len(list_filter(v.a, lambda y: NOT list_contains(p.shown, y))) DESC, v.config_id::VARCHAR) AS place, len(list_filter(v.a, lambda y: NOT list_contains(p.shown, y))) AS fresh FROM p, v) x WHERE place = 1 AND fresh > 0 AND step < 30),
+c AS (SELECT config_id FROM p WHERE step > 0), r AS (SELECT config_id, row_number() OVER (ORDER BY config_id) AS k FROM configs WHERE config_id NOT IN (SELECT config_id FROM c))
+SELECT config_id, config_hardware, config_framework, config_negative FROM configs WHERE config_id IN (SELECT config_id FROM c) OR config_id IN (SELECT config_id FROM r WHERE k <= 30 - (SELECT count(*) FROM c))""")
 def context_coverage(spark, sf_dir):
     t = tables.configs(spark, sf_dir).select("config_id", "config_hardware", "config_framework", "config_negative")
     return diagnostics.coverage_context(t, ["config_hardware", "config_framework", "config_negative"], 30, "config_id")
@@ -306,27 +313,31 @@ def cluster_contingency(spark, sf_dir):
     return rounded(embedding.confusion(_vectors(spark, sf_dir).withColumn("other", F.col("vec_id") % 5), "label", "other"))
 
 
-@query()
+@query("""WITH t AS (SELECT label AS a, floor(label / 2)::BIGINT AS b, count(*)::DOUBLE AS n FROM embeddings GROUP BY ALL), ra AS (SELECT a, sum(n) AS n FROM t GROUP BY 1), rb AS (SELECT b, sum(n) AS n FROM t GROUP BY 1), s AS (SELECT sum(n) AS n FROM t),
+x AS (SELECT (SELECT sum(n * (n - 1) / 2) FROM t) AS both_, (SELECT sum(n * (n - 1) / 2) FROM ra) AS pa, (SELECT sum(n * (n - 1) / 2) FROM rb) AS pb, (SELECT n * (n - 1) / 2 FROM s) AS pairs),
+i AS (SELECT (SELECT sum(t.n / s.n * ln((t.n / s.n) / (ra.n / s.n * rb.n / s.n))) FROM t JOIN ra USING (a) JOIN rb USING (b), s) AS mi, (SELECT -sum(ra.n / s.n * ln(ra.n / s.n)) FROM ra, s) AS ha, (SELECT -sum(rb.n / s.n * ln(rb.n / s.n)) FROM rb, s) AS hb),
+o AS (SELECT avg(m / rb.n) AS hit FROM (SELECT b, max(n) AS m FROM t GROUP BY b) JOIN rb USING (b))
+SELECT round((both_ - pa * pb / pairs) / ((pa + pb) / 2 - pa * pb / pairs), 6) AS ari, round(mi / ((ha + hb) / 2), 6) AS nmi, round((SELECT hit FROM o), 6) AS overlap FROM x, i""")
 def cluster_agreement(spark, sf_dir):
     found = embedding.agreement(_vectors(spark, sf_dir).withColumn("other", F.floor(F.col("label") / 2)), "label", "other")
-    return spark.createDataFrame([tuple(float(v) for v in found.values())], "ari double, nmi double, overlap double")
+    return spark.createDataFrame([tuple(round(float(v), 6) for v in found.values())], "ari double, nmi double, overlap double")
 
 
 @query()
 def kmeans_selection(spark, sf_dir):
-    rows = embedding.kmeans_sweep(_vectors(spark, sf_dir), "embedding", "vec_id", (2, 4, 8), inits=2)
+    rows = embedding.kmeans_sweep(_vectors(spark, sf_dir), "embedding", "vec_id", inits=3)
     return spark.createDataFrame([tuple(float(v) if k != "k" else v for k, v in r.items()) for r in rows], "k bigint, cost double, silhouette double, davies_bouldin double, calinski_harabasz double, balance double")
 
 
-_SAMPLE = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings ORDER BY md5('42|' || vec_id), vec_id LIMIT 2000)"
+_ALL = "v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)"
 
 
-@query(f"WITH {_SAMPLE}, d AS (SELECT a.vec_id AS key, b.vec_id AS neighbour, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS rank FROM d) SELECT key, rank, neighbour, round(distance, 6) AS distance FROM r WHERE rank <= 10")
+@query(f"WITH {_ALL}, d AS (SELECT a.vec_id AS key, b.vec_id AS neighbour, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS rank FROM d) SELECT key, rank, neighbour, round(distance, 6) AS distance FROM r WHERE rank <= 10")
 def knn_overlap(spark, sf_dir):
     return rounded(embedding.neighbours(_vectors(spark, sf_dir), "embedding", "vec_id"))
 
 
-@query(f"""WITH {_SAMPLE}, d AS (SELECT a.vec_id AS key, b.vec_id AS neighbour, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS rank FROM d),
+@query(f"""WITH {_ALL}, d AS (SELECT a.vec_id AS key, b.vec_id AS neighbour, list_distance(a.e, b.e) AS distance FROM v a JOIN v b ON a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY distance, neighbour) AS rank FROM d),
 t AS (SELECT key, k.label AS own, avg(n.label) AS near FROM r JOIN embeddings k ON k.vec_id = key JOIN embeddings n ON n.vec_id = neighbour WHERE rank <= 10 GROUP BY ALL), s AS (SELECT rank() OVER (ORDER BY own) + (count(*) OVER (PARTITION BY own) - 1) / 2.0 AS a, rank() OVER (ORDER BY near) + (count(*) OVER (PARTITION BY near) - 1) / 2.0 AS b FROM t) SELECT round(corr(a, b), 6) AS spearman, count(*) AS n FROM s""")
 def neighbor_target_correlation(spark, sf_dir):
     df = _vectors(spark, sf_dir)
@@ -346,7 +357,7 @@ def residual_tests(spark, sf_dir):
     """Normality of the residuals, and equality of their spread over frameworks, from aggregates alone."""
     df = _predicted(spark, sf_dir).withColumn("e", F.col("tput") - F.col("prediction"))
     n, skew, kurt = df.agg(F.count("e"), F.skewness("e"), F.kurtosis("e") + 3).first()
-    medians = df.groupBy("config_framework").agg(F.median("e").alias("m"))
+    medians = ranks.quantile_table(df, ["e"], {"m": 0.5}, ["config_framework"]).drop("column")
     dev = F.abs(F.col("e") - F.col("m"))
     groups = df.join(medians, "config_framework").groupBy("config_framework").agg(F.count("*"), F.avg(dev), F.sum(dev * dev)).collect()
     k2, p = stats.normality(n, skew, kurt)
@@ -377,14 +388,28 @@ def models_rf_gbt_cv(spark, sf_dir):
 def permutation_importance(spark, sf_dir):
     df = _cohort(spark, sf_dir)
     assigned = df.join(folds.greedy_folds(df, "config_id", 2), "config_id")
-    return models.importance(assigned.where("fold = 0"), assigned.where("fold = 1"), models.Forest(trees=10, depth=5), *_FEATURES, "tput", repeats=2)
+    return models.importance(assigned.where("fold = 0"), assigned.where("fold = 1"), models.Forest(trees=20, depth=5), *_FEATURES, "tput", repeats=3)
 
 
 @query()
 def tail_two_stage(spark, sf_dir):
     df = _cohort(spark, sf_dir).where("energy is not null")
     assigned = df.join(folds.greedy_folds(df, "config_id", 2), "config_id")
-    return models.two_stage(assigned.where("fold = 0"), assigned.where("fold = 1"), *_FEATURES, "energy", "p90")
+    return _tail_models(assigned, 0)
+
+
+def _tail_models(assigned, part):
+    """The candidates' (0) or the classifiers' (1) table of every fold."""
+    from functools import reduce
+
+    found = [models.two_stage(assigned.where(F.col("fold") != k), assigned.where(F.col("fold") == k), *_FEATURES, "energy", "p95")[part].withColumn("fold", F.lit(k).cast("bigint")) for k in (0, 1)]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query()
+def tail_classifiers(spark, sf_dir):
+    df = _cohort(spark, sf_dir).where("energy is not null")
+    return _tail_models(df.join(folds.greedy_folds(df, "config_id", 2), "config_id"), 1)
 
 
 @query()
@@ -392,7 +417,7 @@ def ae_vae_screen(spark, sf_dir):
     df = _cohort(spark, sf_dir)
     assigned = df.join(folds.greedy_folds(df, "config_id", 2), "config_id")
     encoder = encode.fit(assigned.where("fold <> 0"), *_FEATURES)
-    return neural.screen(encoder.transform(assigned), "features", "fold", ["config_id", *_FEATURES[1], "isl", "conc"], [{"method": m, "k": k, "seed": 17, "fold": 0, "beta": 0.001} for m in ("ae", "vae") for k in (2, 4)], epochs=12, most=2000)
+    return neural.screen(encoder.transform(assigned), "features", "fold", ["config_id", *_FEATURES[1], "isl", "conc"], [{"method": m, "k": k, "seed": 17, "fold": 0, "beta": 0.001} for m in ("ae", "vae") for k in (2, 4)], epochs=12)
 
 
 @query()
@@ -400,7 +425,7 @@ def vae_beta_select(spark, sf_dir):
     df = _cohort(spark, sf_dir)
     assigned = df.join(folds.greedy_folds(df, "config_id", 2), "config_id")
     encoder = encode.fit(assigned.where("fold <> 0"), *_FEATURES)
-    runs = neural.screen(encoder.transform(assigned), "features", "fold", ["config_id", *_FEATURES[1], "isl", "conc"], [{"method": "vae", "k": 4, "seed": 17, "fold": f, "beta": b} for b in (0.0001, 0.001, 0.01) for f in (0, 1)], epochs=12, most=2000)
+    runs = neural.screen(encoder.transform(assigned), "features", "fold", ["config_id", *_FEATURES[1], "isl", "conc"], [{"method": "vae", "k": 4, "seed": 17, "fold": f, "beta": b} for b in (0.0001, 0.001, 0.01) for f in (0, 1)], epochs=12)
     return neural.select_beta(runs, least_active=1)
 
 
@@ -411,7 +436,7 @@ def uncertainty_protocol(spark, sf_dir):
 
 @query()
 def representation_runs(spark, sf_dir):
-    return workflows.representation_study(_cohort(spark, sf_dir), *_FEATURES, "config_id", ks=(2, 4), seeds=(17,), n_folds=2, epochs=8, most=2000)
+    return workflows.representation_study(_cohort(spark, sf_dir), *_FEATURES, "config_id", ks=(2, 4), seeds=(17,), n_folds=2, epochs=8)
 
 
 @query()

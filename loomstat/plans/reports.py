@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import binned, pearson
-from ..operators import diagnostics, encode, pca, ranks
-from ..operators.units import sample
+from ..operators import encode, pca, ranks
 
 
 def structure_against_performance(spark, structure: list[tuple[str, float]], performance: list[tuple[str, float]], most: int = 10) -> DataFrame:
@@ -103,19 +102,6 @@ def ablation(train: DataFrame, valid: DataFrame, families: dict[str, tuple[list[
     return train.sparkSession.createDataFrame(rows, "family string, columns bigint, mse double")
 
 
-def screening_summary(runs: DataFrame, by: list[str], metrics: list[str]) -> DataFrame:
-    """Means and sample deviations over the runs of each setting."""
-    return diagnostics.run_summary(runs, metrics, by, population=False)
-
-
-def preview(df: DataFrame, order: list[str], most: int = 50) -> DataFrame:
-    return df.orderBy(*order).limit(most)
-
-
 def overview(df: DataFrame, config: str, workload: list[str], stamp: str) -> DataFrame:
     """One row: runs, configurations, workloads, first and last date."""
     return df.agg(F.count("*").alias("runs"), F.count_distinct(config).alias("configurations"), F.count_distinct(F.struct(*workload)).alias("workloads"), F.min(stamp).alias("first_date"), F.max(stamp).alias("last_date"))
-
-
-def row_capped(df: DataFrame, most: int, seed: int, *keys: str) -> DataFrame:
-    return sample(df, most, seed, *keys)

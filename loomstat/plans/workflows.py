@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import roles
-from ..operators import conformal, encode, folds, models, neural, pca, units
+from ..operators import conformal, encode, folds, models, neural, pca, ranks, units
 from ..sources import artifacts, readers
 from . import reports
 
@@ -21,7 +21,7 @@ def tree_quantiles(train: DataFrame, frames: list[DataFrame], target: str, level
     from pyspark.ml.regression import DecisionTreeRegressor
 
     tree = DecisionTreeRegressor(labelCol=target, featuresCol="_v", leafCol="_leaf", maxDepth=depth, seed=seed).fit(train)
-    leaves = tree.transform(train).groupBy("_leaf").agg(F.percentile(target, levels[0]).alias("low"), F.percentile(target, levels[1]).alias("high"))
+    leaves = ranks.quantile_table(tree.transform(train), [target], {"low": levels[0], "high": levels[1]}, ["_leaf"]).drop("column")
     return [tree.transform(f).drop("prediction").join(leaves, "_leaf").drop("_leaf") for f in frames]
 
 

@@ -57,15 +57,12 @@ def expand_metrics(df: DataFrame, column: str = "metrics", prefix: str = "metric
     """The numbers of a JSON column as columns of their own, nested ones with a point; text that isn't an object has none. Keys are looked for in one pass unless given."""
     parsed = F.try_parse_json(F.col(column))
     if keys is None:
-        from functools import reduce
-
-        # one level of nesting: names come from a distinct over map keys, not from the values
-        flat = F.map_keys(F.from_json(column, "map<string,string>", {"mode": "PERMISSIVE"}))
-        top = [r[0] for r in df.select(F.explode(flat).alias("k")).distinct().orderBy("k").collect()]
-        nested = [df.select(F.lit(k).alias("a"), F.explode(F.map_keys(F.from_json(F.get_json_object(column, f"$['{k}']"), "map<string,string>"))).alias("b")).distinct() for k in top]
-        below = reduce(DataFrame.unionByName, nested).collect() if nested else []
-        parents = {r["a"] for r in below}
-        keys = [k for k in top if k not in parents] + sorted(f"{r['a']}.{r['b']}" for r in below)
+        # one level of nesting; different names are combined before the shuffle, and each comes to the driver once
+        flat = df.select(F.explode(F.from_json(column, "map<string,string>", {"mode": "PERMISSIVE"})).alias("a", "_v"))
+        names = flat.select("a", F.explode_outer(F.map_keys(F.from_json("_v", "map<string,string>"))).alias("b")).distinct().collect()
+        below = sorted((r["a"], r["b"]) for r in names if r["b"] is not None)
+        parents = {a for a, _ in below}
+        keys = sorted({r["a"] for r in names} - parents) + [f"{a}.{b}" for a, b in below]
     values = [number(F.try_variant_get(parsed, "$." + k, "string")).alias(prefix + k) for k in keys]
     return df.select(*[c for c in df.columns if c != column], *values)
 
