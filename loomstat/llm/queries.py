@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import classifier, decontaminate, packing, repeats, secrets, sharding, simhash, substrings, suffixes, topk, urls
+from . import classifier, decontaminate, packing, secrets, sharding, simhash, substrings, suffixes, topk, urls
 from .shared import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +21,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substrings.repeated_passages(read(spark, sf_dir, "documents"))
+    return substrings.repeats_with_partners(read(spark, sf_dir, "documents"))
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixes.repeated_suffixes(read(spark, sf_dir, "documents"))
+    return suffixes.repeated_suffixes(read(spark, sf_dir, "documents"), joined=False)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +70,7 @@ QUERIES: dict[str, Query] = {
 }
 ORACLES: dict[str, str] = {
     op1_exact_top_k.__name__: topk.ORACLE,
-    op3_substring_dedup.__name__: repeats.ORACLE,
-    op4_suffix_array_dedup.__name__: repeats.ORACLE,
+    op3_substring_dedup.__name__: substrings.ORACLE,
+    op4_suffix_array_dedup.__name__: suffixes.ORACLE,
     op7_url_filters.__name__: urls.ORACLE,
 }

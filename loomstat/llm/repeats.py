@@ -115,36 +115,32 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), column.value_lengths().to_numpy(zero_copy_only=False)
 
 
-def merged(spans: DataFrame) -> DataFrame:
-    """(doc_id, start_word, end_word, n_words): the unions of overlapping or touching spans (doc_id, start, end) of each document."""
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    parts = spans.withColumn("new", F.when(before >= F.col("start"), 0).otherwise(1))
-    parts = parts.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    out = parts.groupBy("doc_id", "part").agg(F.min("start").cast("long").alias("start_word"), F.max("end").cast("long").alias("end_word"))
-    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"))
-
+def merged(windows: DataFrame, length: int, joined: bool, partner: bool = False) -> DataFrame:
+    """(doc_id, start_word, end_word, n_words) out of runs (doc_id, low, high) of windows that go on one into the next, by their first words.
 
-def spans_of(doc: np.ndarray, start: np.ndarray, length: int) -> pa.RecordBatch:
-    """(doc_id, start, end) of the runs of windows at consecutive starts."""
-    order = np.lexsort((start, doc))
-    doc, start = doc[order], start[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(doc))[: len(first)] - 1
-    return pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start[first].astype(np.int64)), pa.array(start[last].astype(np.int64) + length)], ["doc_id", "start", "end"])
+    Runs are one span if they share a window; joined: if their words overlap or touch. partner: of the run that begins the span.
+    """
+    order = Window.partitionBy("doc_id").orderBy("low", "high")
+    before = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    parts = windows.withColumn("new", F.when(before + (length if joined else 0) >= F.col("low"), 0).otherwise(1))
+    parts = parts.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    first = [F.min_by("partner_id", F.struct("low", -F.col("high"))).alias("partner_id")] if partner else []
+    out = parts.groupBy("doc_id", "part").agg(F.min("low").cast("long").alias("start_word"), (F.max("high") + length).cast("long").alias("end_word"), *first)
+    return out.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), *[c for c in ("partner_id",) if partner])
 
 
-SPANS = "doc_id long, start long, end long"
-#: DuckDB SQL of either operator's rows.
-ORACLE = f"""
+def oracle(partner: bool) -> str:
+    """DuckDB SQL of the spans, windows being joined where the LENGTH + 1 words of two are in another document."""
+    other = "CASE WHEN g.a <> m.doc_id THEN g.a ELSE g.b END"
+    return f"""
 WITH split AS (SELECT doc_id, regexp_extract_all(text, '[^\\x00-\\x20]+') AS w FROM documents),
 places AS (SELECT doc_id, w, unnest(range(1, len(w) - {LENGTH} + 2)) AS s FROM split WHERE len(w) >= {LENGTH}),
-wins AS (SELECT doc_id, s, md5(array_to_string(w[s:s + {LENGTH - 1}], ' ')) AS key FROM places),
-again AS (SELECT key FROM wins GROUP BY key HAVING min(doc_id) <> max(doc_id)),
-hit AS (SELECT DISTINCT doc_id, s - 1 AS s FROM wins WHERE key IN (SELECT key FROM again)),
-marked AS (SELECT doc_id, s, CASE WHEN s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) <= {LENGTH} THEN 0 ELSE 1 END AS new FROM hit),
-parts AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM marked)
-SELECT doc_id, min(s) AS start_word, max(s) + {LENGTH} AS end_word, max(s) + {LENGTH} - min(s) AS n_words FROM parts GROUP BY doc_id, part
-"""
+wins AS (SELECT doc_id, s, md5(array_to_string(w[s:s + {LENGTH - 1}], ' ')) AS key, CASE WHEN s + {LENGTH} <= len(w) THEN md5(array_to_string(w[s:s + {LENGTH}], ' ')) END AS more FROM places),
+docs AS (SELECT DISTINCT key, doc_id FROM wins), longer AS (SELECT DISTINCT more, doc_id FROM wins WHERE more IS NOT NULL),
+again AS (SELECT key, min(doc_id) AS a, min(doc_id, 2)[2] AS b FROM docs GROUP BY key HAVING count(*) > 1),
+on_ AS (SELECT more, min(doc_id) AS a, min(doc_id, 2)[2] AS b FROM longer GROUP BY more HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, s - 1 AS s, key, more FROM wins WHERE key IN (SELECT key FROM again)),
+marked AS (SELECT doc_id, s, key, more, CASE WHEN lag(s) OVER w = s - 1 AND lag(more) OVER w IN (SELECT more FROM on_) THEN 0 ELSE 1 END AS new FROM hit WINDOW w AS (PARTITION BY doc_id ORDER BY s)),
+parts AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS part FROM marked),
+spans AS (SELECT doc_id, min(s) AS start_word, max(s) + {LENGTH} AS end_word, max(s) + {LENGTH} - min(s) AS n_words, arg_min(key, s) AS key, arg_min(coalesce(more, ''), s) AS more FROM parts GROUP BY doc_id, part)
+""" + (f"SELECT m.doc_id, start_word, end_word, n_words, coalesce({other.replace('g.', 'o.')}, {other}) AS partner_id FROM spans m JOIN again g ON g.key = m.key LEFT JOIN on_ o ON o.more = m.more" if partner else "SELECT doc_id, start_word, end_word, n_words FROM spans")

@@ -25,8 +25,10 @@ SLICE_BYTES = 8 << 20
 PLACE_BITS = 32
 #: Ranks and first hashes have 48 bits, so a pair is told by 96; with more than 1 << 16 ranges all 64 bits travel.
 RANK_BYTES = 6
-PACKED = "part int, docs binary, runs binary, pos binary, low binary, high binary"
-NAMES = ["part", "docs", "runs", "pos", "low", "high"]
+PACKED = "part int, docs binary, runs binary, pos binary, low binary, high binary, more binary"
+NAMES = ["part", "docs", "runs", "pos", "low", "high", "more"]
+#: The rank of what isn't there, or is unique.
+NONE = np.uint64((1 << 48) - 1)
 
 
 def _bytes(ranks: np.ndarray) -> bytes:
@@ -43,23 +45,24 @@ def _ranks(data: pa.Scalar, n: int) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
-def packed(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray) -> pa.RecordBatch:
-    """A row for each part: its documents, how many suffixes each has, and each suffix's place and pair of ranks."""
+def packed(part: np.ndarray, doc: np.ndarray, pos: np.ndarray, low: np.ndarray, high: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    """A row for each part: its documents, how many suffixes each has, and each suffix's place and ranks."""
     order = np.lexsort((pos, doc, part))
-    part, doc, pos, low, high = part[order], doc[order], pos[order].astype(np.int32), low[order] if len(low) else low, high[order] if len(high) else high
+    part, doc, pos = part[order], doc[order], pos[order].astype(np.int32)
+    low, high, more = (x[order] if len(x) else x for x in (low, high, more))
     edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, np.int64)
     rows: list[list] = [[] for _ in NAMES]
     for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
         some = doc[a:b]
         first = np.flatnonzero(np.r_[True, some[1:] != some[:-1]])
-        values = (int(part[a]), some[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), pos[a:b].tobytes(), _bytes(low[a:b]), _bytes(high[a:b]))
+        values = (int(part[a]), some[first].tobytes(), np.diff(np.append(first, b - a)).astype(np.int32).tobytes(), pos[a:b].tobytes(), _bytes(low[a:b]), _bytes(high[a:b]), _bytes(more[a:b]))
         for column, value in zip(rows, values, strict=True):
             column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *[pa.array(c, pa.binary()) for c in rows[1:]]], NAMES)
 
 
-def unpacked(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, place, low, high) of all suffixes of some rows."""
+def unpacked(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, place, low, high, more) of all suffixes of some rows."""
 
     def column(name: str, kind: type) -> np.ndarray:
         return np.concatenate([np.frombuffer(x.as_buffer(), kind) for b in batches for x in b.column(name)] or [np.zeros(0, kind)])
@@ -67,7 +70,7 @@ def unpacked(batches: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.
     def ranks(name: str) -> np.ndarray:
         return np.concatenate([_ranks(x, len(p.as_buffer()) // 4) for b in batches for x, p in zip(b.column(name), b.column("pos"), strict=True)] or [np.zeros(0, np.uint64)])
 
-    return np.repeat(column("docs", np.int64), column("runs", np.int32)), column("pos", np.int32).astype(np.int64), ranks("low"), ranks("high")
+    return np.repeat(column("docs", np.int64), column("runs", np.int32)), column("pos", np.int32).astype(np.int64), ranks("low"), ranks("high"), ranks("more")
 
 
 def by_part(apply: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
@@ -92,7 +95,7 @@ def by_part(apply: Callable[[int, list[pa.RecordBatch]], Iterator[pa.RecordBatch
     return run
 
 
-def _first_pairs(length: int, step: int, reach: int, parts: int):
+def _first_pairs(step: int, reach: int, parts: int, last: bool):
     """Pairs of the suffixes that begin in, or in `reach` words behind, a window that may repeat."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,56 +110,85 @@ def _first_pairs(length: int, step: int, reach: int, parts: int):
                 np.add.at(wanted, w.first[:-1][text] + start + many + reach, -1)
                 at = np.flatnonzero(np.cumsum(wanted[:-1]) > 0)
                 of = np.searchsorted(w.first, at, "right") - 1
+                whole = at + step + START <= w.first[of + 1]
+                at, of = at[whole], of[whole]
                 ids = part.column(part.schema.get_field_index("doc_id")).to_numpy(zero_copy_only=False)
                 low, high = gram[at] >> words.U64(16), gram[at + step] >> words.U64(16)
-                yield packed((low >> words.U64(16)).astype(np.int64) * parts >> 32, ids[of], at - w.first[of], low, high)
+                more = low[:0]
+                if last:
+                    there = at + step + 1 + START <= w.first[of + 1]
+                    more = np.where(there, gram[np.minimum(at + step + 1, len(gram) - 1)] >> words.U64(16), NONE)
+                yield packed((low >> words.U64(16)).astype(np.int64) * parts >> 32, ids[of], at - w.first[of], low, high, more)
 
     return apply
 
 
 def _ranked(parts: int, last: bool):
-    """New ranks of one range's pairs, for the partitions of the documents; the last round needs no ranks."""
+    """New ranks of one range's pairs, for the partitions of the documents.
+
+    The last round needs no ranks, but each suffix's place, doubled, and 1 if it goes on by a word in another document.
+    """
 
     def apply(part: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, pos, low, high = unpacked(rows)
-        order = np.lexsort((doc, high, low))
+        doc, pos, low, high, more = unpacked(rows)
+        order = np.lexsort((more, high, low) if last else (high, low))
         doc, pos, low, high = doc[order], pos[order], low[order], high[order]
-        first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])])
-        size = np.diff(np.append(first, len(low)))
-        keep = np.repeat(doc[first] != doc[first + size - 1], size)
-        rank = np.repeat((part << PLACE_BITS) + first, size)[keep].astype(np.uint64)
+        new = np.r_[True, (low[1:] != low[:-1]) | (high[1:] != high[:-1])]
+
+        def in_two(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            first = np.flatnonzero(new)
+            size = np.diff(np.append(first, len(low)))
+            return np.repeat(np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first), size), np.repeat(first, size)
+
+        keep, first = in_two(new)
+        rank = ((part << PLACE_BITS) + first)[keep].astype(np.uint64)
+        if last:
+            more = more[order]
+            goes_on = in_two(new | np.r_[True, more[1:] != more[:-1]])[0] & (more != NONE)
+            pos = 2 * pos + goes_on
         doc, pos = doc[keep], pos[keep]
         home = (words.mix(doc.astype(np.uint64)) % words.U64(parts)).astype(np.int64)
         none = rank[:0]
-        yield packed(home, doc, pos, none if last else rank, none)
+        yield packed(home, doc, pos, none if last else rank, none, none)
 
     return by_part(apply)
 
 
-def _next_pairs(step: int):
+def _next_pairs(step: int, last: bool):
     """Pairs (rank at i, rank at i + step) of one partition of documents; without a second rank a suffix is unique."""
 
     def apply(_: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, pos, rank, _ = unpacked(rows)
+        doc, pos, rank, _, _ = unpacked(rows)
         names, local = np.unique(doc, return_inverse=True)
         key = (local << 32) + pos
         order = np.argsort(key, kind="stable")
         key, rank, local, pos = key[order], rank[order], local[order], pos[order]
-        at = np.minimum(np.searchsorted(key, key + step), len(key) - 1)
-        have = np.flatnonzero(key[at] == key + step)
-        low = rank[have]
-        yield packed((low >> words.U64(PLACE_BITS)).astype(np.int64), names[local[have]], pos[have], low, rank[at[have]])
+
+
+        def of(by: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.minimum(np.searchsorted(key, key[some] + by), len(key) - 1)
+            return at, key[at] == key[some] + by
+
+        at, there = of(step, np.arange(len(key)))
+        have = np.flatnonzero(there)
+        low, more = rank[have], rank[:0]
+        if last:
+            further, there = of(step + 1, have)
+            more = np.where(there, rank[further], NONE)
+        yield packed((low >> words.U64(PLACE_BITS)).astype(np.int64), names[local[have]], pos[have], low, rank[at[have]], more)
 
     return by_part(apply)
 
 
-def _spans(length: int):
+def _spans(length: int, joined: bool):
     def apply(_: int, rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc, pos, _, _ = unpacked(rows)
+        doc, pos, _, _, _ = unpacked(rows)
         order = np.lexsort((pos, doc))
         doc, pos = doc[order], pos[order]
+        once = np.r_[True, (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1])]  # rows of one id may repeat
+        doc, pos, goes_on = doc[once], pos[once] >> 1, pos[once] & 1
         new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] > pos[:-1] + length)
+        new[1:] = (doc[1:] != doc[:-1]) | ((pos[1:] > pos[:-1] + length) if joined else (pos[1:] > pos[:-1] + 1) | (goes_on[:-1] == 0))
         first = np.flatnonzero(new)
         start, end = pos[first], pos[np.append(first[1:], len(doc)) - 1] + length
         yield pa.RecordBatch.from_arrays([pa.array(doc[first]), pa.array(start), pa.array(end), pa.array(end - start)], ["doc_id", "start_word", "end_word", "n_words"])
@@ -164,9 +196,12 @@ def _spans(length: int):
     return by_part(apply)
 
 
-def repeated_suffixes(docs: DataFrame, length: int = repeats.LENGTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def repeated_suffixes(docs: DataFrame, length: int = repeats.LENGTH, id_column: str = "doc_id", text_column: str = "text", joined: bool = True) -> DataFrame:
     """(doc_id, start_word, end_word, n_words): the unions of the parts of `length` words of each document that another document has too.
 
+    joined: parts that overlap or touch are united; else only those that begin a word apart and whose length + 1 words together
+    are in another document, as in substrings.repeats_with_partners.
+
     Words and the treatment of nulls, short texts, repeated rows and empty tables are those of substrings.repeated_passages,
     and so are the rows. Repeats of START words or more in one document alone drop out in the round that shows it.
     """
@@ -181,9 +216,12 @@ def repeated_suffixes(docs: DataFrame, length: int = repeats.LENGTH, id_column:
         return df.repartitionById(parts, "part").sortWithinPartitions("part")
 
     # windows of `length` words are compared from their first words on, so suffixes further on are needed as far as later rounds look
-    state = repeats.candidates(source, length, repeats.K).mapInArrow(_first_pairs(length, steps[0], sum(steps[1:]), parts), PACKED)
+    state = repeats.candidates(source, length, repeats.K).mapInArrow(_first_pairs(steps[0], sum(steps[1:]) + 1, parts, len(steps) == 1), PACKED)
     for k, step in enumerate(steps):
         if k:
-            state = exchanged(state).mapInArrow(_next_pairs(step), PACKED)
+            state = exchanged(state).mapInArrow(_next_pairs(step, k == len(steps) - 1), PACKED)
         state = exchanged(state).mapInArrow(_ranked(parts, k == len(steps) - 1), PACKED)
-    return exchanged(state).mapInArrow(_spans(length), "doc_id long, start_word long, end_word long, n_words long")
+    return exchanged(state).mapInArrow(_spans(length, joined), "doc_id long, start_word long, end_word long, n_words long")
+
+
+ORACLE = repeats.oracle(False)

@@ -276,6 +276,57 @@ def test_repeats_equal_brute_force(spark, operator, batch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def brute_chained(texts, length):
+    """(document, start, end, words, partner) of maximal runs of windows, each with the next word in another document."""
+    split = {i: [w for w in t.translate({c: 32 for c in range(33)}).split(" ") if w] for i, t in texts.items() if t}
+
+    def where(n):
+        out = defaultdict(set)
+        for i, w in split.items():
+            for s in range(len(w) - n + 1):
+                out[tuple(w[s : s + n])].add(i)
+        return out
+
+    own, more, out = where(length), where(length + 1), []
+    for i, w in split.items():
+        spans = []
+        for s in range(len(w) - length + 1):
+            if len(own[tuple(w[s : s + length])]) < 2:
+                continue
+            if spans and spans[-1][1] == s - 1 and len(more[tuple(w[s - 1 : s + length])]) > 1:
+                spans[-1][1] = s
+            else:
+                spans.append([s, s])
+        for a, b in spans:
+            docs = more[tuple(w[a : a + length + 1])] if b > a or len(more.get(tuple(w[a : a + length + 1]), ())) > 1 else own[tuple(w[a : a + length])]
+            out.append((i, a, b + length, b + length - a, min(docs - {i})))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("batch", ["10000", "3"])
+def test_repeats_and_partners_equal_brute_force(spark, batch):
+    texts = repeated_texts(6)
+    a, b, c = (sentence(random.Random(70 + i), 50, 10_000) for i in range(3))
+    texts |= {100: f"{a} {b}", 101: f"x {a}", 102: f"y {b} z", 103: f"{c} x {c}", 104: c, 105: " ".join(f"{a} {b}".split()[20:80]), 106: " ".join(f"{b} {c}".split()[10:])}
+    expected = brute_chained(texts, repeats.LENGTH)
+    assert [r[1:4] for r in expected if r[0] == 104] == [(0, 50, 50)] and len([r for r in expected if r[0] == 100]) > 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        df = documents(spark, list(texts.values()), list(texts))
+        df = df.unionByName(df.where("doc_id in (3, 62)")).unionByName(documents(spark, [texts[0]], [None]))
+        assert rows(substrings.repeats_with_partners(df)) == sorted(expected, key=repr)
+        assert rows(suffixes.repeated_suffixes(df, joined=False)) == sorted({r[:4] for r in expected}, key=repr)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_passages_that_touch_are_two_repeats(spark):
+    a, b = (sentence(random.Random(80 + i), 50, 10_000) for i in range(2))
+    df = documents(spark, [f"{a} {b}", a, b], [1, 2, 3])
+    assert rows(substrings.repeats_with_partners(df)) == [(1, 0, 50, 50, 2), (1, 50, 100, 50, 3), (2, 0, 50, 50, 1), (3, 0, 50, 50, 1)]
+    assert rows(suffixes.repeated_suffixes(df, joined=False)) == [(1, 0, 50, 50), (1, 50, 100, 50), (2, 0, 50, 50), (3, 0, 50, 50)]
+
+
 @pytest.mark.parametrize("operator", [substrings.repeated_passages, suffixes.repeated_suffixes])
 def test_no_repeats(spark, operator):
     assert operator(documents(spark, ODD)).count() == 0
