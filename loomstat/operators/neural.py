@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 HIDDEN = (64, 32)
@@ -159,18 +160,19 @@ def summarised(n: int, p: int, k: int, variational: bool, sums: np.ndarray) -> d
     return {"validation_mse": sums[0] / (n * p), "validation_mae": sums[1] / (n * p), "kl": float(kl.sum()), "active": int(active.sum()), "sensitivity": float((shift / p).mean())}
 
 
-def screen(df: DataFrame, features: str, fold: str, order: list[str], runs: list[dict], epochs: int = 60, most: int = 20_000, **options) -> DataFrame:
-    """One row of diagnostics for each run, a dict of method, k, seed, fold and beta: trained on all other folds and validated on its own, in parallel.
+NETWORK = "run int, method string, k bigint, seed bigint, fold bigint, beta double, parameters bigint, best_epoch bigint, train_mse double, weights binary"
+
 
-    A run is trained, and stopped, on at most `most` rows, those of the least hash of `order`; they are multiplied by the
-    number of runs, one group each. Its diagnostics are of all rows of its fold.
+def networks(df: DataFrame, features: str, fold: str, order: list[str], runs: list[dict], epochs: int = 60, most: int = 20_000, **options) -> DataFrame:
+    """A row for each run, a dict of method, k, seed, fold and beta, with its weights: trained on all other folds, stopped by its own, in parallel.
+
+    A run has at most `most` rows, those of the least hash of `order`; they are multiplied by the number of runs, one group each.
     """
     import pandas as pd
 
-    spark = df.sparkSession
     some = df.select(features, F.col(fold).alias("_fold"), F.xxhash64(*order).alias("_h")).orderBy("_h", F.xxhash64(features)).limit(most)
-    table = spark.createDataFrame([(i, r["method"], r["k"], r["seed"], r["fold"], float(r.get("beta", 0.0))) for i, r in enumerate(runs)], "run int, method string, k bigint, seed bigint, fold bigint, beta double")
-    fields = ["run", "method", "k", "seed", "fold", "beta", "parameters", "best_epoch", "train_mse", "weights"]
+    table = df.sparkSession.createDataFrame([(i, r["method"], r["k"], r["seed"], r["fold"], float(r.get("beta", 0.0))) for i, r in enumerate(runs)], "run int, method string, k bigint, seed bigint, fold bigint, beta double")
+    fields = [c.split(" ")[0] for c in NETWORK.split(", ")]
 
     def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_h", kind="stable")
@@ -180,7 +182,31 @@ def screen(df: DataFrame, features: str, fold: str, order: list[str], runs: list
         net, found = train(x[~held], x[held], r["method"], int(r["k"]), int(r["seed"]), float(r["beta"]), epochs, **options)
         return pd.DataFrame([{**{c: r[c] for c in fields[:6]}, "parameters": net.parameters, **found, "weights": np.concatenate([w.ravel() for w in net.weights]).tobytes()}])[fields]
 
-    nets = some.crossJoin(F.broadcast(table)).groupBy("run").applyInPandas(fitted, "run int, method string, k bigint, seed bigint, fold bigint, beta double, parameters bigint, best_epoch bigint, train_mse double, weights binary").cache()
+    return some.crossJoin(F.broadcast(table)).groupBy("run").applyInPandas(fitted, NETWORK)
+
+
+def latents(df: DataFrame, features: str, method: str, k: int, weights: bytes, name: str = "latent") -> DataFrame:
+    """df with the mean latent of each row."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = None
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(batch.schema.get_field_index(features)).to_numpy(zero_copy_only=False)).astype(float)
+                net = net or restored(x.shape[1], k, method == "vae", weights)
+                z = net.encode(x)[0]
+                offsets = pa.array(np.arange(len(z) + 1, dtype=np.int32) * k)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(z.ravel()))], [*batch.schema.names, name])
+
+    return df.mapInArrow(apply, T.StructType([*df.schema, T.StructField(name, T.ArrayType(T.DoubleType()))]))
+
+
+def screen(df: DataFrame, features: str, fold: str, order: list[str], runs: list[dict], epochs: int = 60, most: int = 20_000, **options) -> DataFrame:
+    """One row of diagnostics for each run of `networks`, of all rows of its fold."""
+    import pandas as pd
+
+    spark = df.sparkSession
+    nets = networks(df, features, fold, order, runs, epochs, most, **options).cache()
     held = {r["run"]: r for r in nets.select("run", "method", "k", "fold", "weights").collect()}  # a network a run
     shared = spark.sparkContext.broadcast({i: (r["method"] == "vae", int(r["k"]), int(r["fold"]), r["weights"]) for i, r in held.items()})
 

@@ -174,6 +174,33 @@ def stability(df: DataFrame, features: str, key: str, components: int = 5, runs:
     return [(r, c, float(b.share[c - 1]), cos) for r, b in enumerate(bases) for c, cos, _, _ in compare(bases[0], b, components)]
 
 
+def stability_summary(runs: DataFrame, warn: float = 0.8, alarm: float = 0.6) -> DataFrame:
+    """(component, runs, share_mean, share_std, share_min, share_max, cosine_mean, cosine_min, warning) of rows of `stability`; the first run isn't compared with itself."""
+    other = F.when(F.col("run") > 0, F.col("cosine"))
+    found = runs.groupBy("component").agg(F.count("*").alias("runs"), F.avg("share").alias("share_mean"), F.stddev_pop("share").alias("share_std"), F.min("share").alias("share_min"), F.max("share").alias("share_max"), F.avg(other).alias("cosine_mean"), F.min(other).alias("cosine_min"))
+    return found.withColumn("warning", F.when(F.col("cosine_mean") < alarm, "unstable").when(F.col("cosine_mean") < warn, "weak").otherwise("stable"))
+
+
+def drivers(bases: list[Basis], component: int, most: int = 10) -> list[tuple[str, float]]:
+    """(feature, share of the bases that have it among the `most` largest absolute loadings of a component), the most frequent first."""
+    hits: dict[str, int] = {}
+    for b in bases:
+        size = np.abs(b.loadings[:, component - 1])
+        for i in sorted(range(len(size)), key=lambda i: (-size[i], b.names[i]))[:most]:
+            hits[b.names[i]] = hits.get(b.names[i], 0) + 1
+    return sorted(((n, c / len(bases)) for n, c in hits.items()), key=lambda r: (-r[1], r[0]))
+
+
+def compared_loadings(old: Basis, new: Basis, components: int) -> dict:
+    """Over the features that both have: correlations of the components' aligned loadings, and the cosines of the angles between the spaces."""
+    names = [n for n in old.names if n in new.names]
+    components = min(components, old.loadings.shape[1], new.loadings.shape[1])
+    a, b = (x.loadings[[x.names.index(n) for n in names], :components] for x in (old, new))
+    b = b * np.where((a * b).sum(0) < 0, -1, 1)
+    angles = stats.principal_angles(a, b)
+    return {"features": len(names), "correlation": [stats.correlation(a[:, k], b[:, k]) for k in range(components)], "subspace_cosines": [float(np.cos(np.radians(x))) for x in angles]}
+
+
 def bootstrap(df: DataFrame, features: str, group: str, runs: int = 20, components: int = 5, seed: int = 17) -> list[tuple[int, int, float, float]]:
     """(component, feature, low, high): 95 % intervals of aligned loadings over resamples of groups.
 

@@ -7,14 +7,13 @@ from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import roles
 from ..functions.columns import binned
-from ..operators import diagnostics, embedding, energy, profile, ranks, units
-from . import reports, tables
+from ..operators import diagnostics, embedding, energy, encode, neural, pca, profile, ranks, units
+from . import reports, research, tables
 from .analytics import UNIT, rounded
-from .modelling import _ALL, _PREDICTED, _cohort, _fold_sql, _predicted, _vectors
+from .modelling import _ALL, _FEATURES, _PREDICTED, _cohort, _fold_sql, _predicted, _vectors
 from .tables import JOINED, RUNS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -248,3 +247,63 @@ def binned_overlay(spark, sf_dir):
 @query(f"WITH {RUNS}, {_fold_sql(3)}, j AS (SELECT tput, fold FROM runs JOIN f USING (config_id)), a AS (SELECT g.fold, CASE WHEN g.fold = j.fold THEN 'validation' ELSE 'training' END AS part, tput FROM j, (SELECT DISTINCT fold FROM f) g) SELECT fold, part, count(*) AS n, round(avg(tput), 4) AS mean, round(stddev_pop(tput), 4) AS std, round(min(tput), 4) AS min, {', '.join(f'round(quantile_cont(tput, {p / 100}), 4) AS p{p}' for p in (5, 25, 50, 75, 95))}, round(max(tput), 4) AS max FROM a GROUP BY ALL")
 def fold_targets(spark, sf_dir):
     return rounded(diagnostics.fold_targets(_predicted(spark, sf_dir), "tput"), 4)
+
+
+# the representation study; its numbers come from networks, components and clusterings, which SQL can't express
+
+
+@query()
+def cross_method_agreement(spark, sf_dir):
+    """Clusters of few components against those of more, of rows and of labels."""
+    return research.component_agreement(_vectors(spark, sf_dir), "embedding", "vec_id", "label", {"two": (2, 3), "five": (5, 3), "ten": (10, 2)})
+
+
+def _study(spark, sf_dir):
+    df = _cohort(spark, sf_dir).withColumn("row_id", F.xxhash64(*UNIT))
+    return research.encoded_folds(df, *_FEATURES, "config_id", 2)[1]
+
+
+_ORDER = ["config_id", "benchmark_type", "isl", "conc"]
+
+
+@query()
+def geometry_robustness(spark, sf_dir):
+    """Stability of latents of the same rows across two seeds and two partitions."""
+    df = _study(spark, sf_dir)
+    turned = df.withColumn("fold", 1 - F.col("fold"))
+    found = research.geometry(research.seed_embeddings(df, "features", "row_id", _ORDER, "ae", 2, (17, 29), {0: df, 1: turned}, epochs=8))
+    return spark.createDataFrame(found, "fixed string, value bigint, pairs bigint, stability double")
+
+
+@query()
+def final_representation(spark, sf_dir):
+    """The final runs of a variational network, with a beta selected first, beside those of an autoencoder."""
+    df = _study(spark, sf_dir)
+    tried = neural.screen(df, "features", "fold", _ORDER, [{"method": "vae", "k": 2, "seed": 17, "fold": f, "beta": b} for b in (0.0001, 0.001) for f in (0, 1)], epochs=8)
+    runs = [research.final_runs(df, "features", _ORDER, m, 2, (17, 29), 2, neural.select_beta(tried, least_active=1), epochs=8) for m in ("ae", "vae")]
+    return research.run_summary(runs[0].unionByName(runs[1]))
+
+
+@query()
+def split_metadata(spark, sf_dir):
+    return research.split_metadata(_study(spark, sf_dir), "config_id", UNIT)
+
+
+@query()
+def pca_stability_summary(spark, sf_dir):
+    """Means, deviations and ends of the components' shares and cosines over samples, and whether a component is unstable."""
+    runs = pca.stability(_vectors(spark, sf_dir), "embedding", "vec_id")
+    return pca.stability_summary(spark.createDataFrame(runs, "run bigint, component bigint, share double, cosine double"))
+
+
+@query()
+def reconstruction_levels(spark, sf_dir):
+    """Errors of ten components: in all, by kind of source, and by source."""
+    df = _study(spark, sf_dir)
+    encoder = encode.fit(df, *_FEATURES)
+    basis = pca.fit(df, "features", encoder.names(), 10)
+    rows = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in basis.loadings])
+    rebuilt = F.transform(F.arrays_zip(F.array(*[F.lit(float(m)) for m in basis.mean]).alias("m"), rows.alias("w")), lambda x: x["m"] + F.aggregate(F.zip_with("scores", x["w"], lambda a, b: a * b), F.lit(0.0), lambda s, y: s + y))
+    kinds = {c: "numeric" for c in _FEATURES[0]} | {c: "category" for c in _FEATURES[1]}
+    scored = basis.scores(df.select("features"), "features").withColumn("rebuilt", rebuilt)
+    return embedding.reconstruction_levels(scored, "features", "rebuilt", encoder.sources(), kinds)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import argparse
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import roles
-from ..operators import conformal, encode, folds, models, neural, pca, ranks, units
+from ..operators import conformal, diagnostics, encode, folds, models, neural, pca, ranks, units
 from ..sources import artifacts, readers
-from . import reports
+from . import reports, research
 
 LEVELS = (0.5, 0.8, 0.95)
 
@@ -62,13 +63,10 @@ def uncertainty(df: DataFrame, numeric: list[str], categories: list[str], target
 
 def compare_models(df: DataFrame, target: str, group: str = "config_id", n_folds: int = 3, seed: int = 42, most: int | None = None, out: str | None = None, adapters: dict[str, models.Adapter] | None = None) -> list[dict]:
     """Rows of models x folds on the default features, resumed from and saved to `out` after every fold."""
-    features = roles.without_leakage(roles.default_features(df, target), target)
-    kinds = dict(df.dtypes)
-    categories = [c for c in features if kinds[c] in ("string", "boolean")]
-    numeric = [c for c in features if c not in categories]
+    numeric, categories = _features(df, target)
     work = df.where(F.col(target).isNotNull())
     if most:
-        work = units.sample(work, most, seed, group, *features)
+        work = units.sample(work, most, seed, group, *numeric, *categories)
     if len(work.head(4)) < 4:
         raise ValueError("fewer than four rows have the target")
     work = work.join(folds.greedy_folds(work, group, n_folds), group)
@@ -93,8 +91,6 @@ def representation_study(df: DataFrame, numeric: list[str], categories: list[str
         nets = neural.screen(encoder.transform(assigned), "features", "fold", [group, *numeric, *categories], settings, epochs=epochs, most=most)
         tables += [linear, nets.select(linear.columns)]
     assigned.unpersist()
-    from functools import reduce
-
     return reduce(DataFrame.unionByName, tables)
 
 
@@ -130,30 +126,106 @@ def _rounded(value, digits: int = 9):
     return [_rounded(v, digits) for v in value] if isinstance(value, (list, tuple)) else value
 
 
+def diagnose(df: DataFrame, targets: list[str], group: str = "config_id", kinds: tuple[str, ...] = ("raw", "log1p"), n_folds: int = 3, seed: int = 42, adapters: dict[str, models.Adapter] | None = None, done: list[dict] | None = None, each=None, least: int = 20) -> list[dict]:
+    """Rows of targets x kinds x models x folds, with each fold's unseen and rare levels; targets with fewer than `least` rows are skipped, and so are logarithms of negative ones."""
+    adapters = adapters or {"ridge": models.Ridge(), "boosted": models.Boosted()}
+    out = []
+    for target in targets:
+        present = df.where(F.col(target).isNotNull())
+        if present.limit(least).count() < least:
+            out.append({"target": target, "skipped": f"fewer than {least} rows"})
+            continue
+        numeric, categories = _features(df, target)
+        assigned = present.join(folds.greedy_folds(present, group, n_folds), group)
+        hard = {(r["fold"], r["column"]): (r["unseen"], r["rare"]) for r in diagnostics.fold_coverage(assigned, categories).collect()} if categories else {}
+        for kind in kinds:
+            if kind == "log1p" and present.where(F.col(target) < 0).head(1):
+                out.append({"target": target, "kind": kind, "skipped": "negative values"})
+                continue
+            for r in models.evaluate(assigned, adapters, numeric, categories, target, group, seed=seed, kind=kind, done=done, each=each).collect():
+                out.append({"target": target, "kind": kind, **r.asDict(), "unseen": sum(u for (f, _), (u, _) in hard.items() if f == r["fold"]), "rare": sum(x for (f, _), (_, x) in hard.items() if f == r["fold"])})
+    return out
+
+
+def tails(df: DataFrame, target: str, group: str = "config_id", method: str = "p95", n_folds: int = 3, seed: int = 42, **options) -> dict:
+    """Thresholds by fold and method, and the means over folds of six candidates and two classifiers."""
+    present = df.where(F.col(target).isNotNull())
+    assigned = present.join(folds.greedy_folds(present, group, n_folds), group).cache()
+    numeric, categories = _features(df, target)
+    tables: tuple[list[DataFrame], list[DataFrame]] = ([], [])
+    for k in range(n_folds):
+        for held, found in zip(tables, models.two_stage(assigned.where(F.col("fold") != k), assigned.where(F.col("fold") == k), numeric, categories, target, method, seed=seed, **options), strict=True):
+            held.append(found)
+    means = [[r.asDict() for r in reduce(DataFrame.unionByName, t).groupBy(name).agg(*[F.avg(c).alias(c) for c in t[0].columns if c != name]).orderBy(name).collect()] for t, name in zip(tables, ("candidate", "classifier"), strict=True)]
+    thresholds = [r.asDict() for r in diagnostics.threshold_table(assigned, target).orderBy("method", "fold").collect()]
+    assigned.unpersist()
+    return {"target": target, "seed": seed, "thresholds": thresholds, "candidates": means[0], "classifiers": means[1]}
+
+
+def _features(df: DataFrame, target: str) -> tuple[list[str], list[str]]:
+    kinds = dict(df.dtypes)
+    features = roles.without_leakage(roles.default_features(df, target), target)
+    categories = [c for c in features if kinds[c] in ("string", "boolean")]
+    return [c for c in features if c not in categories], categories
+
+
+TASKS = ("status", "compare", "diagnose", "tails", "uncertainty", "screen", "final", "summary")
+
+
 def main(args: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("task", choices=["status", "compare", "uncertainty"])
+    parser.add_argument("task", choices=TASKS)
     parser.add_argument("folder")
-    parser.add_argument("--target", default="metrics_p99_itl")
+    parser.add_argument("--target", action="append")
     parser.add_argument("--folds", type=int, default=3)
     parser.add_argument("--seed", type=int, default=42)
     parser.add_argument("--max-rows", type=int)
+    parser.add_argument("--method", choices=["ae", "vae"], default="ae")
+    parser.add_argument("--dimension", type=int, action="append")
+    parser.add_argument("--epochs", type=int, default=60)
     parser.add_argument("--out", default="result.json")
     o = parser.parse_args(args)
-    if o.task == "status":
-        print(artifacts.markdown(readers.sources(o.folder)))
+    targets = o.target or ["metrics_p99_itl"]
+    if o.task == "summary":
+        found = research.research_summary(o.folder, targets[0])
+        artifacts.write(o.out, found)
+        print(research.summary_text(found))
         return
     spark = SparkSession.builder.appName("workflow").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    if o.task == "status":
+        print(artifacts.markdown(readers.sources(o.folder, spark)))
+        return
     mode, df = readers.load(spark, o.folder)
     if mode == "missing":
         raise SystemExit("no complete source in the folder")
     if o.task == "compare":
-        print(artifacts.markdown(compare_models(df, o.target, n_folds=o.folds, seed=o.seed, most=o.max_rows, out=o.out)))
+        print(artifacts.markdown(compare_models(df, targets[0], n_folds=o.folds, seed=o.seed, most=o.max_rows, out=o.out)))
         return
-    features = roles.default_features(df, o.target)
-    kinds = dict(df.dtypes)
-    categories = [c for c in features if kinds[c] in ("string", "boolean")]
-    table = uncertainty(df, [c for c in features if c not in categories], categories, o.target, "config_id", n_folds=o.folds, seed=o.seed)
+    if o.task == "diagnose":
+        found = diagnose(df, targets, n_folds=o.folds, seed=o.seed)
+        artifacts.write(o.out, {"seed": o.seed, "folds": found})
+        print(artifacts.markdown([{k: r.get(k) for k in ("target", "kind", "model", "fold", "r2", "mae", "unseen", "rare", "failure", "skipped")} for r in found]))
+        return
+    if o.task == "tails":
+        found = tails(df, targets[0], n_folds=o.folds, seed=o.seed)
+        artifacts.write(o.out, found)
+        print(artifacts.markdown(found["candidates"]))
+        return
+    numeric, categories = _features(df, targets[0])
+    if o.task in ("screen", "final"):
+        _, rows = research.encoded_folds(df, numeric, categories, "config_id", o.folds)
+        order = ["config_id", *numeric, *categories]
+        if o.task == "screen":
+            runs, chosen = research.screening(rows, "features", order, o.method, tuple(o.dimension or (5, 10, 15)), (o.seed,), o.folds, epochs=o.epochs)
+            table = [r.asDict() for r in chosen.collect()]
+        else:
+            tried = neural.screen(rows, "features", "fold", order, [{"method": "vae", "k": (o.dimension or [15])[0], "seed": o.seed, "fold": f, "beta": b} for b in (0.0001, 0.001, 0.01) for f in range(o.folds)], epochs=o.epochs) if o.method == "vae" else None
+            runs = research.final_runs(rows, "features", order, o.method, (o.dimension or [15])[0], n_folds=o.folds, beta_table=None if tried is None else neural.select_beta(tried), epochs=o.epochs)
+            table = [r.asDict() for r in research.run_summary(runs).collect()]
+        artifacts.write(o.out, research.metadata("representation-1") | {"runs": [r.asDict() for r in runs.collect()], "selected": table})
+        print(artifacts.markdown(table))
+        return
+    table = uncertainty(df, numeric, categories, targets[0], "config_id", n_folds=o.folds, seed=o.seed)
     found = [r.asDict() for r in table.groupBy("method", "level").agg(F.avg("coverage").alias("coverage"), F.avg("width").alias("width"), F.avg("score").alias("score")).orderBy("level", "method").collect()]
     artifacts.write(o.out, {"intervals": found, "decision": artifacts.decision([], [r for r in found if r["level"] == max(LEVELS)], max(LEVELS))})
     print(artifacts.markdown(found))
@@ -161,5 +233,3 @@ def main(args: list[str] | None = None) -> None:
 
 if __name__ == "__main__":
     main()
-
-

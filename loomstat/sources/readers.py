@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -67,19 +68,27 @@ def expand_metrics(df: DataFrame, column: str = "metrics", prefix: str = "metric
     return df.select(*[c for c in df.columns if c != column], *values)
 
 
-def sources(folder: str) -> list[dict]:
-    """Which of the known files a folder has, by precedence: flat CSV, raw CSV, then JSON."""
-    base = Path(folder)
-    found = []
-    for mode, runs in (("csv", "benchmark_results.csv"), ("raw_csv", "benchmark_results_raw.csv"), ("json", "benchmark_results.json")):
-        configs = base / ("configs.json" if mode == "json" else "configs.csv")
-        found.append({"mode": mode, "runs": str(base / runs), "configs": str(configs), "available": (base / runs).is_file() and configs.is_file()})
-    return found
+def file_size(spark: SparkSession | None, path: str) -> int | None:
+    """Bytes of a file in any file system that Spark knows, None if there is no such file; without a session, of a local file."""
+    if spark is None:
+        return Path(path).stat().st_size if Path(path).is_file() else None
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.getFileStatus(where).getLen() if system.exists(where) and not system.getFileStatus(where).isDirectory() else None
+
+
+def sources(folder: str, spark: SparkSession | None = None, fallbacks: tuple[str, ...] = ("json", "dump")) -> list[dict]:
+    """Which of the known files a folder has, by precedence: flat CSV, raw CSV, then JSON there or in one of the folders below it."""
+    base = folder.rstrip("/")
+    known = [("csv", base, "benchmark_results.csv", "configs.csv"), ("raw_csv", base, "benchmark_results_raw.csv", "configs.csv")]
+    known += [("json", place, "benchmark_results.json", "configs.json") for place in (base, *[f"{base}/{f}" for f in fallbacks])]
+    found = [{"mode": mode, "runs": f"{place}/{runs}", "configs": f"{place}/{configs}"} for mode, place, runs, configs in known]
+    return [f | {"available": all(file_size(spark, f[k]) is not None for k in ("runs", "configs"))} for f in found]
 
 
 def load(spark: SparkSession, folder: str) -> tuple[str, DataFrame]:
     """(mode, joined runs) of the first source that is complete; mode is missing with an empty frame otherwise."""
-    for s in sources(folder):
+    for s in sources(folder, spark):
         if s["available"]:
             read = read_csv if s["mode"] != "json" else read_records
             runs, configs = read(spark, s["runs"]), flattened(read(spark, s["configs"]))
@@ -97,15 +106,39 @@ def side_tables(spark: SparkSession, folder: str, names: tuple[str, ...] = ("ava
     out = {}
     for name in names:
         for suffix, read in ((".csv", read_csv), (".json", read_records)):
-            path = Path(folder) / (name + suffix)
-            if name not in out and path.is_file() and path.stat().st_size <= most:
-                out[name] = read(spark, str(path))
+            path = f"{folder.rstrip('/')}/{name}{suffix}"
+            size = None if name in out else file_size(spark, path)
+            if size is not None and size <= most:
+                out[name] = read(spark, path)
     return out
 
 
-def write_embeddings(df: DataFrame, path: str) -> None:
-    """Parquet with Zstandard, ready for column pruning."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+def write_embeddings(df: DataFrame, path: str, seed: str = "seed", keys: tuple[str, ...] = ("row_id",)) -> dict:
+    """Parquet with Zstandard, a folder for each seed, and beside it a manifest of its rows, seeds, columns and a digest, which is returned.
+
+    The digest is of all values, whatever their order; `read_embeddings` checks it.
+    """
+    df.write.mode("overwrite").partitionBy(seed).option("compression", "zstd").parquet(path)
+    manifest = _embedding_manifest(df.sparkSession.read.parquet(path), seed, keys)
+    rows = df.sparkSession.createDataFrame([(json.dumps(manifest, sort_keys=True),)], "value string")
+    rows.coalesce(1).write.mode("overwrite").text(f"{path.rstrip('/')}.manifest")
+    return manifest
+
+
+def _embedding_manifest(df: DataFrame, seed: str, keys: tuple[str, ...]) -> dict:
+    columns = sorted(df.columns)
+    row = df.agg(F.count("*").alias("rows"), F.array_sort(F.collect_set(F.col(seed).cast("string"))).alias("seeds"), F.count_distinct(*keys).alias("keys"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).cast("string").alias("digest")).first()
+    return {"rows": row["rows"], "seeds": list(row["seeds"]), "different_keys": row["keys"], "columns": columns, "digest": row["digest"]}
+
+
+def read_embeddings(spark: SparkSession, path: str, seed: str = "seed", keys: tuple[str, ...] = ("row_id",), **expected) -> DataFrame:
+    """The embeddings, if they are as their manifest says, and it as expected; else an error that names what differs."""
+    manifest = json.loads(spark.read.text(f"{path.rstrip('/')}.manifest").first()[0])
+    df = spark.read.parquet(path)
+    found = _embedding_manifest(df, seed, keys)
+    if wrong := sorted(k for k in manifest if manifest[k] != found[k]) + sorted(k for k, v in expected.items() if manifest.get(k) != v):
+        raise ValueError(f"embeddings that differ in {wrong}")
+    return df
 
 
 def write_signed(df: DataFrame, path: str, signature: str) -> None:
