@@ -325,7 +325,7 @@ def cluster_agreement(spark, sf_dir):
 
 @query()
 def kmeans_selection(spark, sf_dir):
-    rows = embedding.kmeans_sweep(_vectors(spark, sf_dir), "embedding", "vec_id", inits=3)
+    rows = embedding.kmeans_sweep(_vectors(spark, sf_dir), "embedding", "vec_id", (2, 4, 8), inits=2)
     return spark.createDataFrame([tuple(float(v) if k != "k" else v for k, v in r.items()) for r in rows], "k bigint, cost double, silhouette double, davies_bouldin double, calinski_harabasz double, balance double")
 
 
@@ -402,7 +402,7 @@ def _tail_models(assigned, part):
     """The candidates' (0) or the classifiers' (1) table of every fold."""
     from functools import reduce
 
-    found = [models.two_stage(assigned.where(F.col("fold") != k), assigned.where(F.col("fold") == k), *_FEATURES, "energy", "p95")[part].withColumn("fold", F.lit(k).cast("bigint")) for k in (0, 1)]
+    found = [models.two_stage(assigned.where(F.col("fold") != k), assigned.where(F.col("fold") == k), *_FEATURES, "energy", "p95", trees=models.Boosted(rounds=5, depth=4), gate_rounds=5)[part].withColumn("fold", F.lit(k).cast("bigint")) for k in (0, 1)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -415,9 +415,9 @@ def tail_classifiers(spark, sf_dir):
 @query()
 def ae_vae_screen(spark, sf_dir):
     df = _cohort(spark, sf_dir)
-    assigned = df.join(folds.greedy_folds(df, "config_id", 2), "config_id")
+    assigned = df.join(folds.greedy_folds(df, "config_id", 3), "config_id")
     encoder = encode.fit(assigned.where("fold <> 0"), *_FEATURES)
-    return neural.screen(encoder.transform(assigned), "features", "fold", ["config_id", *_FEATURES[1], "isl", "conc"], [{"method": m, "k": k, "seed": 17, "fold": 0, "beta": 0.001} for m in ("ae", "vae") for k in (2, 4)], epochs=12)
+    return neural.screen(encoder.transform(assigned), "features", "fold", ["config_id", *_FEATURES[1], "isl", "conc"], [{"method": m, "k": k, "seed": 17, "fold": f, "beta": 0.001} for m in ("ae", "vae") for k in (2, 4) for f in range(3)], epochs=20)
 
 
 @query()

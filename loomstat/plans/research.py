@@ -109,7 +109,7 @@ def cluster_agreement(labels: DataFrame, group: str, methods: list[str]) -> list
         rows = embedding.agreement(labels, a, b)
         both = units.majority(labels, [group], a).drop("n").join(units.majority(labels, [group], b).drop("n"), group)
         groups = embedding.agreement(both, a, b)
-        out.append((a, b, rows["ari"], rows["nmi"], rows["overlap"], groups["ari"], groups["overlap"]))
+        out.append((a, b, *(float(v) for v in (rows["ari"], rows["nmi"], rows["overlap"], groups["ari"], groups["overlap"]))))
     return out
 
 
