@@ -9,8 +9,10 @@ import urllib.parse
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet
 import pytest
 import zstandard
 from pyspark.sql import functions as F
@@ -96,6 +98,61 @@ def test_top_k_over_many_blocks_and_rounds(spark, monkeypatch):
     assert got == sorted(expected, key=repr) and len(calls) > 3
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_top_k_of_some_queries_by_growing_shares(spark, monkeypatch, kind):
+    """Shares of a 64th and an 8th before the one pass over all pairs, cells that hold few queries, a dense group of near copies and one of copies."""
+    for name, value in (("LEAST", 30), ("BLOCK_BYTES", 64 * 4 * 6), ("HELD_BYTES", 40_000), ("PASSED_BYTES", 20_000), ("PIECE", 96), ("CHUNK", 32)):
+        monkeypatch.setattr(topk, name, value)
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(0, 1, (2400, 6))
+    vectors[300:700] = np.array([5.0, 1, 1, 1, 1, 1]) + rng.normal(0, 1e-3, (400, 6))
+    vectors[900:1300] = vectors[900]
+    vectors = vectors.astype(np.float32).astype(float)
+    names = rng.permutation(5000)[:2400] - 500
+    shares, kept = [], []
+    counted, last = topk._counted, topk._kept
+    monkeypatch.setattr(topk, "_counted", lambda *a: (shares.append(a), counted(*a))[1])
+    monkeypatch.setattr(topk, "_kept", lambda *a: (kept.append(a), last(*a))[1])
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(names, vectors, strict=True)], f"vec_id long, embedding array<{kind}>").repartition(3)
+    got = rows(topk.search(df, 5, every=7))
+    unit = vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]
+    expected = []
+    for i in np.flatnonzero(names % 7 == 0):
+        score = (unit[i] * unit).sum(axis=1)
+        order = [j for j in np.lexsort((names, -np.floor(score * topk.FINE + 0.5))) if j != i][:5]
+        expected += [(int(names[i]), r + 1, int(names[j]), float(np.floor(score[j] * topk.UNITS + 0.5) / topk.UNITS)) for r, j in enumerate(order)]
+    assert got == sorted(expected, key=repr) and len(got) > 1500
+    assert [a[0] for a in shares].count(max(a[0] for a in shares)) == 2 and len(kept) == 1
+
+
+def test_op1_scores_few_pairs_besides_those_of_its_queries(spark, monkeypatch, tmp_path):
+    """Every 20th row is a query, as in the SQL, and no more than 1.2 products a pair are made."""
+    rng = np.random.default_rng(6)
+    names, vectors = np.arange(8000), rng.normal(0, 1, (8000, 16))
+    folder = tmp_path / "tables"
+    folder.mkdir()
+    table = pa.table({"vec_id": names, "embedding": pa.array(vectors.astype(np.float32).tolist(), pa.list_(pa.float32()))})
+    pa.parquet.write_table(table, folder / "embeddings.parquet")
+    scored = spark.sparkContext.accumulator(0)
+    cells = topk._cells
+
+    def watched(make, *a):
+        class Watched(make):
+            def meet(self, names, rows):
+                scored.add(len(self.names) * len(names))
+                super().meet(names, rows)
+
+        return cells(Watched, *a)
+
+    monkeypatch.setattr(topk, "_cells", watched)
+    got = rows(queries.op1_exact_top_k(spark, str(folder)))
+    assert len(got) == 4000 and {r[0] for r in got} == set(range(0, 8000, 20))
+    assert scored.value <= 1.2 * 400 * 8000
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet'")
+    assert got == sorted(con.execute(f"SELECT vec_id, rank, neighbor_id, score FROM ({topk.ORACLE})").fetchall(), key=repr)
+
+
 def test_top_k_of_nothing_and_of_few(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.search(empty).count() == 0
