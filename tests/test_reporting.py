@@ -316,3 +316,19 @@ def test_json_keys_in_one_pass(spark):
     df = readers.expand_metrics(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, metrics string"))
     assert df.columns == ["i", "metrics_b", "metrics_c", "metrics_a.x", "metrics_a.y"]
     assert [tuple(r) for r in df.orderBy("i").collect()][:2] == [(0, 1.0, None, 2.0, None), (1, None, 4.5, None, None)]
+
+
+def test_thresholds_agree_with_duckdb_where_decimals_end_in_five(spark):
+    """Rounded halves and interpolation between unlike neighbours, to the last bit; two folds whose interquartile range is odd in its last digit."""
+    from loomstat.functions.columns import to_digits
+
+    rng = np.random.default_rng(8)
+    halves = [8981.43645, 3633.6628499999997, -855.6859499999999, 0.0, 1e300, *(rng.integers(1, 10**9, 500) / 1e5).tolist()]
+    duck = duckdb.connect()
+    assert [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(halves)], "i long, v double").orderBy("i").select(to_digits("v", 4)).collect()] == [r[0] for r in duck.execute("SELECT round(unnest(?::DOUBLE[]), 4)", [halves]).fetchall()]
+    values = (rng.integers(1, 10**7, 400) / 1e4).tolist()
+    rows = [(i % 2, float(v)) for i, v in enumerate(values)]
+    shares = {"a": 0.05, "b": 0.25, "c": 0.75, "d": 0.975}
+    for g, *found in ranks.quantile_table(spark.createDataFrame(rows, "g long, v double"), ["v"], shares, ["g"]).drop("column").collect():
+        own = [v for k, v in rows if k == g]
+        assert found == list(duck.execute(f"SELECT {', '.join(f'quantile_cont(x, {p})' for p in shares.values())} FROM (SELECT unnest(?::DOUBLE[]) AS x)", [own]).fetchone())
