@@ -15,28 +15,28 @@ FLOOR = 1e-8
 
 
 def quantile(scores: DataFrame, score: str, level: float, by: list[str]) -> DataFrame:
-    """(by..., q): the score at place min(n, ceil((n + 1) level)) in each group; ranges of values are sorted apart, not a group as a whole."""
+    """(by..., q): the score at place min(n, ceil((n + 1) level)) in each group; ranges of values are sorted apart, not a group as a whole. Groups are few: their rows are broadcast to what they are joined with."""
     return at_share(scores, score, level, lambda n: F.least(n, F.ceil((n + 1) * F.lit(level))), by).withColumnRenamed(score, "q")
 
 
 def global_intervals(calibration: DataFrame, validation: DataFrame, residual: str, prediction: str, level: float, by: list[str]) -> DataFrame:
     """validation with lower and upper: the prediction and the quantile of absolute residuals to both sides."""
     q = quantile(calibration.withColumn("_score", F.abs(residual)), "_score", level, by)
-    return validation.join(q, by).withColumn("lower", F.col(prediction) - F.col("q")).withColumn("upper", F.col(prediction) + F.col("q")).drop("q")
+    return validation.join(F.broadcast(q), by).withColumn("lower", F.col(prediction) - F.col("q")).withColumn("upper", F.col(prediction) + F.col("q")).drop("q")
 
 
 def scaled_intervals(calibration: DataFrame, validation: DataFrame, residual: str, prediction: str, scale: str, level: float, by: list[str]) -> DataFrame:
     """As global_intervals, with residuals by an estimate of their scale."""
     s = F.greatest(F.col(scale), F.lit(FLOOR))
     q = quantile(calibration.withColumn("_score", F.abs(residual) / s), "_score", level, by)
-    return validation.join(q, by).withColumn("lower", F.col(prediction) - F.col("q") * s).withColumn("upper", F.col(prediction) + F.col("q") * s).drop("q")
+    return validation.join(F.broadcast(q), by).withColumn("lower", F.col(prediction) - F.col("q") * s).withColumn("upper", F.col(prediction) + F.col("q") * s).drop("q")
 
 
 def quantile_intervals(calibration: DataFrame, validation: DataFrame, target: str, low: str, high: str, level: float, by: list[str]) -> DataFrame:
     """Intervals from estimated quantiles, widened or narrowed by the conformal score; bounds that cross are swapped."""
     lo, hi = F.least(low, high), F.greatest(low, high)
     q = quantile(calibration.withColumn("_score", F.greatest(lo - F.col(target), F.col(target) - hi)), "_score", level, by)
-    out = validation.join(q, by).withColumn("_lo", lo - F.col("q")).withColumn("_hi", hi + F.col("q"))
+    out = validation.join(F.broadcast(q), by).withColumn("_lo", lo - F.col("q")).withColumn("_hi", hi + F.col("q"))
     return out.withColumn("lower", F.least("_lo", "_hi")).withColumn("upper", F.greatest("_lo", "_hi")).drop("_lo", "_hi", "q")
 
 

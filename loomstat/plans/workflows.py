@@ -23,7 +23,7 @@ def tree_quantiles(train: DataFrame, frames: list[DataFrame], target: str, level
 
     tree = DecisionTreeRegressor(labelCol=target, featuresCol="_v", leafCol="_leaf", maxDepth=depth, seed=seed).fit(train)
     leaves = ranks.quantile_table(tree.transform(train), [target], {"low": levels[0], "high": levels[1]}, ["_leaf"]).drop("column")
-    return [tree.transform(f).drop("prediction").join(leaves, "_leaf").drop("_leaf") for f in frames]
+    return [tree.transform(f).drop("prediction").join(F.broadcast(leaves), "_leaf").drop("_leaf") for f in frames]
 
 
 def uncertainty(df: DataFrame, numeric: list[str], categories: list[str], target: str, group: str, adapter: models.Adapter | None = None, n_folds: int = 3, seed: int = 42, levels: tuple[float, ...] = LEVELS) -> DataFrame:

@@ -332,3 +332,25 @@ def test_thresholds_agree_with_duckdb_where_decimals_end_in_five(spark):
     for g, *found in ranks.quantile_table(spark.createDataFrame(rows, "g long, v double"), ["v"], shares, ["g"]).drop("column").collect():
         own = [v for k, v in rows if k == g]
         assert found == list(duck.execute(f"SELECT {', '.join(f'quantile_cont(x, {p})' for p in shares.values())} FROM (SELECT unnest(?::DOUBLE[]) AS x)", [own]).fetchone())
+
+
+def _sorted_joins(spark, frame):
+    """How many joins of a plan bring all rows of a key to one task, where Spark knows no sizes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return frame()._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _few_groups(spark):
+    return spark.createDataFrame([(i % 3, i % 2, float(i * i % 101)) for i in range(300)], "fold long, g long, v double")
+
+
+def test_groups_of_quantiles_and_means_are_not_joined_in_one_task_each(spark):
+    df = _few_groups(spark)
+    assert _sorted_joins(spark, lambda: ranks.quantile_table(df, ["v"], {"m": 0.5}, ["g"])) == 0
+    assert _sorted_joins(spark, lambda: diagnostics.out_of_fold_means(df, "v", ["g"])) == 0
+    plain, asked = [{r[0]: r[-1] for r in ranks.at_places(df, ["v"], {"m": (0.5, lambda t: t - 1)}, ["g"], few=few).collect()} for few in (True, False)], {g: max(r.v for r in df.collect() if r.g == g) for g in (0, 1)}
+    assert plain == [asked, asked]
