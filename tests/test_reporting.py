@@ -354,3 +354,12 @@ def test_groups_of_quantiles_and_means_are_not_joined_in_one_task_each(spark):
     assert _sorted_joins(spark, lambda: diagnostics.out_of_fold_means(df, "v", ["g"])) == 0
     plain, asked = [{r[0]: r[-1] for r in ranks.at_places(df, ["v"], {"m": (0.5, lambda t: t - 1)}, ["g"], few=few).collect()} for few in (True, False)], {g: max(r.v for r in df.collect() if r.g == g) for g in (0, 1)}
     assert plain == [asked, asked]
+
+
+def test_distances_from_medians_are_not_joined_in_one_task_a_group(spark):
+    df = _few_groups(spark)
+    assert _sorted_joins(spark, lambda: diagnostics.about_medians(df, "v", "g")) == 0
+    for g, n, mean, squares in diagnostics.about_medians(df, "v", "g").collect():
+        own = np.array([r.v for r in df.collect() if r.g == g])
+        away = np.abs(own - np.median(own))
+        assert (n, pytest.approx(mean), pytest.approx(squares)) == (len(own), away.mean(), (away**2).sum())
