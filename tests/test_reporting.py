@@ -363,3 +363,6 @@ def test_distances_from_medians_are_not_joined_in_one_task_a_group(spark):
         own = np.array([r.v for r in df.collect() if r.g == g])
         away = np.abs(own - np.median(own))
         assert (n, pytest.approx(mean), pytest.approx(squares)) == (len(own), away.mean(), (away**2).sum())
+
+
+
