@@ -366,3 +366,156 @@ def test_distances_from_medians_are_not_joined_in_one_task_a_group(spark):
 
 
 
+
+
+def test_reconstruction_by_levels(spark):
+    df = spark.createDataFrame([([1.0, 0.0, 2.0], [0.0, 0.0, 0.0])], "a array<double>, b array<double>")
+    got = {(r.level, r.name): r.mse for r in embedding.reconstruction_levels(df, "a", "b", ["h", "h", "n"], {"h": "category", "n": "numeric"}).collect()}
+    assert got == {("overall", "all"): pytest.approx(5 / 3), ("balanced", "all"): 2.25, ("kind", "category"): 0.5, ("kind", "numeric"): 4.0, ("source", "h"): 0.5, ("source", "n"): 4.0}
+
+
+def test_budget_guard_and_augmented_artifacts(tmp_path):
+    path = str(tmp_path / "a.json")
+    artifacts.write(path, {"x": 1})
+    clock = iter(range(0, 1000, 10)).__next__
+    done = research.within_budget([("one", lambda: 1), ("two", lambda: 2), ("three", lambda: 3)], 25, [path], lambda: float(clock()))
+    assert [r["status"] for r in done] == ["done", "skipped", "skipped"] or [r["status"] for r in done] == ["done", "done", "skipped"]
+    with pytest.raises(ValueError):
+        research.within_budget([("bad", lambda: artifacts.write(path, {"x": 2}))], 25, [path])
+    assert research.augmented(path, "warm_up", [1])["warm_up"] == [1]
+    with pytest.raises(ValueError):
+        research.augmented(path, "warm_up", [2])
+
+
+def test_artifacts_are_compared_only_if_alike():
+    part = lambda mse, dim=2: {"cohort_digest": "c", "dimension": dim, "seeds": [1], "folds": 2, "metrics": {"validation_mse": mse, "stability": 1 - mse}}
+    found = research.compared_artifacts({"ae": part(0.1), "pca": part(0.3)})
+    assert found["wins"] == {"ae": 2, "pca": 0} and found["matrix"][0]["best"] == "ae"
+    with pytest.raises(ValueError):
+        research.compared_artifacts({"ae": part(0.1), "pca": part(0.3, 3)})
+    own, other = {"target": "t", "seed": 1, "fingerprint": "f", "models": {"a": 1}}, {"target": "t", "seed": 1, "fingerprint": "f", "models": {"b": 2}}
+    assert research.merged_results(own, other)["models"] == {"a": 1, "b": 2}
+    for wrong in (other | {"seed": 2}, own):
+        with pytest.raises(ValueError):
+            research.merged_results(own, wrong)
+
+
+def test_research_summary_of_missing_bad_and_whole_artifacts(tmp_path, capsys):
+    empty = research.research_summary(str(tmp_path), "t")
+    assert set(empty["status"].values()) == {"missing"} and empty["point"] is None and "no artifact" in research.summary_text(empty)
+    artifacts.write(str(tmp_path / "models.json"), {"targets": {"t": {"r2": 0.5, "r2_std": 0.1, "mae": 2.0}}})
+    assert research.research_summary(str(tmp_path), "t")["point"]["r2"] == 0.5
+    artifacts.write(str(tmp_path / "residuals.json"), {"metrics": {"r2_mean": 0.7, "r2_std": 0.1, "mae_mean": 1.0}, "evidence": {"k2": 9.0}})
+    groups = [{"value": "a", "n": 1, "coverage": 0.0}, {"value": "b", "n": 30, "coverage": 0.7}]
+    artifacts.write(str(tmp_path / "uncertainty.json"), {"intervals": [{"method": "global", "level": 0.8, "coverage": 0.81, "width": 5.0, "score": 9.0}, {"method": "scaled", "level": 0.8, "coverage": 0.8, "width": 4.0, "score": 8.0, "groups": groups}]})
+    (tmp_path / "tails.json").write_text(json.dumps({"aggregate_only": True, "predictions": [1]}))
+    found = research.research_summary(str(tmp_path), "t")
+    assert found["point"]["r2"] == 0.7 and found["intervals"]["0.8"]["method"] == "scaled" and found["intervals"]["0.8"]["small_groups"] == 1 and found["intervals"]["0.8"]["worst_group"]["value"] == "b"
+    assert found["status"]["tails"].startswith("unavailable") and found["status"]["models"] == "available"
+    workflows.main(["summary", str(tmp_path), "--target", "t", "--out", str(tmp_path / "out.json")])
+    assert "R2 0.700000" in capsys.readouterr().out and artifacts.read(str(tmp_path / "out.json"))["target"] == "t"
+
+
+def test_diagnosis_of_targets(spark):
+    df = cohort(spark).withColumn("metrics_few", F.when(F.col("conc") > 99, 1.0)).withColumn("metrics_negative", F.col("conc") - 2)
+    found = workflows.diagnose(df, ["metrics_p99_itl", "metrics_few", "metrics_negative"], n_folds=2, adapters={"ridge": models.Ridge()}, kinds=("raw", "log1p"))
+    ran = [r for r in found if "skipped" not in r]
+    assert {(r["target"], r["kind"]) for r in ran} == {("metrics_negative", "raw")} | ({("metrics_p99_itl", "raw"), ("metrics_p99_itl", "log1p")} & {(r["target"], r["kind"]) for r in ran})
+    assert {r["target"] for r in found if "skipped" in r} >= {"metrics_few", "metrics_negative"}
+
+
+def test_embeddings_with_a_manifest(spark, tmp_path):
+    df = spark.createDataFrame([(s, str(i), [float(i), float(s)]) for s in (1, 2) for i in range(5)], "seed long, row_id string, z array<double>")
+    path = str(tmp_path / "e")
+    made = readers.write_embeddings(df, path)
+    assert made["rows"] == 10 and made["seeds"] == ["1", "2"] and made["different_keys"] == 5
+    assert readers.read_embeddings(spark, path, rows=10).count() == 10
+    with pytest.raises(ValueError):
+        readers.read_embeddings(spark, path, rows=11)
+    df.limit(3).write.mode("append").partitionBy("seed").parquet(path)
+    with pytest.raises(ValueError, match="digest"):
+        readers.read_embeddings(spark, path)
+
+
+def test_json_keys_in_one_pass(spark):
+    rows = ['{"b": 1, "a": {"x": 2, "y": "no"}}', '{"c": "4.5"}', "[1]", "no json", None]
+    df = readers.expand_metrics(spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i long, metrics string"))
+    assert df.columns == ["i", "metrics_b", "metrics_c", "metrics_a.x", "metrics_a.y"]
+    assert [tuple(r) for r in df.orderBy("i").collect()][:2] == [(0, 1.0, None, 2.0, None), (1, None, 4.5, None, None)]
+
+
+def test_thresholds_agree_with_duckdb_where_decimals_end_in_five(spark):
+    """Rounded halves and interpolation between unlike neighbours, to the last bit; two folds whose interquartile range is odd in its last digit."""
+    from loomstat.functions.columns import to_digits
+
+    rng = np.random.default_rng(8)
+    halves = [8981.43645, 3633.6628499999997, -855.6859499999999, 0.0, 1e300, *(rng.integers(1, 10**9, 500) / 1e5).tolist()]
+    duck = duckdb.connect()
+    assert [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(halves)], "i long, v double").orderBy("i").select(to_digits("v", 4)).collect()] == [r[0] for r in duck.execute("SELECT round(unnest(?::DOUBLE[]), 4)", [halves]).fetchall()]
+    values = (rng.integers(1, 10**7, 400) / 1e4).tolist()
+    rows = [(i % 2, float(v)) for i, v in enumerate(values)]
+    shares = {"a": 0.05, "b": 0.25, "c": 0.75, "d": 0.975}
+    for g, *found in ranks.quantile_table(spark.createDataFrame(rows, "g long, v double"), ["v"], shares, ["g"]).drop("column").collect():
+        own = [v for k, v in rows if k == g]
+        assert found == list(duck.execute(f"SELECT {', '.join(f'quantile_cont(x, {p})' for p in shares.values())} FROM (SELECT unnest(?::DOUBLE[]) AS x)", [own]).fetchone())
+
+
+def _sorted_joins(spark, frame):
+    """How many joins of a plan bring all rows of a key to one task, where Spark knows no sizes."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return frame()._jdf.queryExecution().executedPlan().toString().count("SortMergeJoin")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _few_groups(spark):
+    return spark.createDataFrame([(i % 3, i % 2, float(i * i % 101)) for i in range(300)], "fold long, g long, v double")
+
+
+def test_groups_of_quantiles_and_means_are_not_joined_in_one_task_each(spark):
+    df = _few_groups(spark)
+    assert _sorted_joins(spark, lambda: ranks.quantile_table(df, ["v"], {"m": 0.5}, ["g"])) == 0
+    assert _sorted_joins(spark, lambda: diagnostics.out_of_fold_means(df, "v", ["g"])) == 0
+    plain, asked = [{r[0]: r[-1] for r in ranks.at_places(df, ["v"], {"m": (0.5, lambda t: t - 1)}, ["g"], few=few).collect()} for few in (True, False)], {g: max(r.v for r in df.collect() if r.g == g) for g in (0, 1)}
+    assert plain == [asked, asked]
+
+
+def test_distances_from_medians_are_not_joined_in_one_task_a_group(spark):
+    df = _few_groups(spark)
+    assert _sorted_joins(spark, lambda: diagnostics.about_medians(df, "v", "g")) == 0
+    for g, n, mean, squares in diagnostics.about_medians(df, "v", "g").collect():
+        own = np.array([r.v for r in df.collect() if r.g == g])
+        away = np.abs(own - np.median(own))
+        assert (n, pytest.approx(mean), pytest.approx(squares)) == (len(own), away.mean(), (away**2).sum())
+
+
+def test_rank_correlation_scans_rows_once_and_counts_equal_pairs(spark):
+    from pyspark.sql.types import DoubleType
+
+    seen = spark.sparkContext.accumulator(0)
+    noted = F.udf(lambda v: (seen.add(1), v)[1], DoubleType())
+    rows = [(i % 3, float(i * i % 23), float(i % 4)) for i in range(900)] + [(0, None, 1.0), (1, 2.0, None)]
+    df = spark.createDataFrame(rows, "g long, a double, b double").repartition(3).withColumn("a", noted("a"))
+    whole = ranks.spearman(df, "a", "b").first()
+    assert seen.value <= 2 * len(rows)
+    both = [(a, b) for _, a, b in rows if a is not None and b is not None]
+    place = lambda v: np.array([(np.array(v) < x).sum() + ((np.array(v) == x).sum() + 1) / 2 for x in v])
+    assert whole == (pytest.approx(np.corrcoef(place([a for a, _ in both]), place([b for _, b in both]))[0, 1], abs=1e-12), 900)
+    for g, found, n in ranks.spearman(df, "a", "b", ["g"]).collect():
+        own = [(a, b) for k, a, b in rows if k == g and a is not None and b is not None]
+        assert (found, n) == (pytest.approx(np.corrcoef(place([a for a, _ in own]), place([b for _, b in own]))[0, 1], abs=1e-12), 300)
+
+
+def test_reconstruction_by_a_function_of_rows(spark):
+    """As by a column, with nulls, NaN and short arrays; the encoder's arrays are those of its columns."""
+    rows = [([1.0, 2.0, None], [0.5, 2.0, 1.0]), ([3.0, 4.0, 5.0], [3.0, 1.0]), (None, [1.0]), ([0.0, 0.0, 0.0], [1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "a array<double>, b array<double>").repartition(2)
+    found = {r.source: (r.mse, r.mae) for r in embedding.reconstruction(df, "a", "b").collect()}
+    assert found == {"x0": (pytest.approx(1.25 / 3), pytest.approx(0.5)), "x1": (pytest.approx(10 / 3), pytest.approx(4 / 3)), "x2": (1.0, 1.0)}
+    assert {tuple(r) for r in embedding.reconstruction(df.where("a[2] is not null"), "a", lambda x: x + 2, ["s", "s", "t"]).collect()} == {("s", 4.0, 2.0), ("t", 4.0, 2.0)}
+    table = spark.createDataFrame([(float(i), f"l{i % 40}", None if i % 7 == 0 else f"k{i % 3}", None) for i in range(200)], "x double, many string, few string, none string")
+    encoder = encode.fit(table, ["x"], ["many", "few", "none"])
+    for r in encoder.transform(table.unionByName(spark.createDataFrame([(None, "new", "new", "new")], table.schema))).select("features", F.array(*encoder.columns()).alias("own")).collect():
+        assert r.features == r.own and len(r.own) == len(encoder.names())
