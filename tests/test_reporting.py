@@ -519,3 +519,12 @@ def test_reconstruction_by_a_function_of_rows(spark):
     encoder = encode.fit(table, ["x"], ["many", "few", "none"])
     for r in encoder.transform(table.unionByName(spark.createDataFrame([(None, "new", "new", "new")], table.schema))).select("features", F.array(*encoder.columns()).alias("own")).collect():
         assert r.features == r.own and len(r.own) == len(encoder.names())
+
+
+def test_neighbours_hold_few_pairs_at_once(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "PAIRS", 64)
+    x = np.random.default_rng(4).integers(0, 2, (300, 3)).astype(float)  # most rows lie at distance 0 of many
+    found = {(r.key, r.rank, r.neighbour) for r in embedding.neighbours(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "i long, v array<double>"), "v", "i", 3).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert found == {(i, r + 1, int(j)) for i in range(len(x)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
