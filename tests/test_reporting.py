@@ -528,3 +528,17 @@ def test_neighbours_hold_few_pairs_at_once(spark, monkeypatch):
     d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
     np.fill_diagonal(d, np.inf)
     assert found == {(i, r + 1, int(j)) for i in range(len(x)) for r, j in enumerate(np.argsort(d[i], kind="stable")[:3])}
+
+
+def test_cohorts_and_predictions_are_tables(spark):
+    """What many passes read is not worked out again by each of them."""
+    from loomstat.plans import modelling
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    df = modelling._cohort(spark, SMALL)
+    assert "Join" not in plan(df) and "Aggregate" not in plan(df)
+    assigned = modelling._assigned(df.where("energy is not null"), 2)
+    assert "Join" not in plan(assigned) and assigned.groupBy("config_id").agg(F.count_distinct("fold").alias("n")).where("n > 1").count() == 0
+    assert "Join" not in plan(reporting._study(spark, SMALL))
+    for table in models.two_stage(assigned.where("fold = 0"), assigned.where("fold = 1"), *modelling._FEATURES, "energy", trees=models.Boosted(rounds=2, depth=2), gate_rounds=2):
+        assert "UDF" not in plan(table)
