@@ -542,3 +542,11 @@ def test_cohorts_and_predictions_are_tables(spark):
     assert "Join" not in plan(reporting._study(spark, SMALL))
     for table in models.two_stage(assigned.where("fold = 0"), assigned.where("fold = 1"), *modelling._FEATURES, "energy", trees=models.Boosted(rounds=2, depth=2), gate_rounds=2):
         assert "UDF" not in plan(table)
+
+
+def test_networks_sort_little_more_than_their_rows(spark):
+    df = spark.range(60_000).select("id", F.xxhash64("id").alias("_h"))
+    near = neural._least(df, 50)
+    assert near.count() < 300
+    assert near.orderBy("_h").limit(50).collect() == df.orderBy("_h").limit(50).collect()
+    assert neural._least(df, 20_000).count() == 60_000
